@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
-from quernstone.llm import op08_token_counts, op10_packing
+from quernstone.llm import op01_quality_divergence, op02_toxicity, op04_html, op05_secrets, op06_sharding, op08_token_counts, op10_packing
 from quernstone.llm.common import table
 
 
+def op1_quality_divergence(spark, sf_dir):
+    rows = op01_quality_divergence.quality(table(spark, sf_dir, "documents"))
+    return rows.drop("char_distance", "word_distance")
+
+
+def op2_toxicity(spark, sf_dir):
+    return op02_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_html_extraction(spark, sf_dir):
+    return op04_html.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_secret_scan(spark, sf_dir):
+    return op05_secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark, sf_dir):
+    return op06_sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return op08_token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-def op10_packing_(spark, sf_dir):
+def op10_best_fit_packing(spark, sf_dir):
     return op10_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (op1_quality_divergence, op2_toxicity, op4_html_extraction, op5_secret_scan, op6_sharding, op8_token_counts, op10_best_fit_packing)
+
+
 def queries():
-    return {"op8_token_counts": op8_token_counts, "op10_best_fit_packing": op10_packing_}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
