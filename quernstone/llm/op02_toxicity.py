@@ -167,3 +167,16 @@ def classify(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     return classify(docs, train(docs, labels, id_col, text_col, label_col), id_col, text_col)
+
+
+def filtered(docs: DataFrame, weights: Weights, text_col: str = "text") -> DataFrame:
+    """The documents, all columns, that score below one half; one narrow pass."""
+    at = docs.columns.index(text_col)
+    held = docs.sparkSession.sparkContext.broadcast((weights.at, weights.value, weights.bias))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(Weights(*held.value))
+        for batch in batches:
+            yield batch.filter(pa.array([score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
