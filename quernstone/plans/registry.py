@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import star
+from quernstone.plans import relational, star
 
-MODULES = (star,)
+MODULES = (star, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
