@@ -65,7 +65,7 @@ def macaddr_trunc(mac: Column) -> Column:
 
 # ---- boxes (cube): struct<ll, ur> of arrays -------------------------------------
 def cube(ll: Column, ur: Column) -> Column:
-    return F.struct(F.zip_with(ll, ur, F.least).alias("ll"), F.zip_with(ll, ur, F.greatest).alias("ur"))
+    return F.struct(F.zip_with(ll, ur, lambda a, b: F.least(a, b)).alias("ll"), F.zip_with(ll, ur, lambda a, b: F.greatest(a, b)).alias("ur"))
 
 
 def cube_contains(a: Column, b: Column) -> Column:

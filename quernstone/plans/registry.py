@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import relational, star
+from quernstone.plans import io, relational, scalar, star
 
-MODULES = (star, relational)
+MODULES = (star, relational, scalar, io)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

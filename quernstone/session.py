@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +54,27 @@ def pin(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    folder = tempfile.mkdtemp(prefix="quernstone-")
+    name = os.path.join(folder, "quernstone_src.zip")
+    Path(name).write_bytes(data.getvalue())
+    sc.addPyFile(name)
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver tables; only Spark's reader opens the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
