@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -161,6 +163,8 @@ class ArrowFiles(DataSource):
 
 def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    # planning workers don't have shipped files yet: the classes travel by value
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(ArrowFiles)
 
 
