@@ -13,6 +13,7 @@ from quernstone.llm import (
     op08_token_counts,
     op09_licenses,
     op10_packing,
+    oracles,
 )
 from quernstone.llm.common import table
 
@@ -77,4 +78,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return oracles.oracle_sql()
