@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import io, relational, scalar, star
+from quernstone.plans import io, relational, scalar, star, surface
 
-MODULES = (star, relational, scalar, io)
+MODULES = (star, relational, scalar, io, surface)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
