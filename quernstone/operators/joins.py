@@ -6,6 +6,8 @@ on a key that spreads, spill like any join and can be split when skewed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,18 +37,28 @@ def band_join(left: DataFrame, right: DataFrame, key: Column, low: Column, high:
     return left.withColumn("_cell", F.floor(key / width)).join(wide, "_cell").filter((key >= low) & (key <= high)).drop("_cell")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, value: str, salt: int = 0) -> DataFrame:
-    """Each left row with the latest right value at or before its time.
+def as_of_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, value: str, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each left row with the latest right value (that isn't null) at or before its time.
 
-    One union and one window per key: linear, no range join.  ``value`` is added;
-    null where nothing came before.
+    One union and one window: linear, no range join.  ``value`` is added; null
+    where nothing came before.  ``bucket`` maps a time to a coarser, monotonic
+    number: windows then hold a bucket of a key, not all of a hot key, and the last
+    value of earlier buckets is carried in from one row per key and bucket.
     """
     names = left.columns
+    number = bucket or (lambda t: F.lit(0))
     a = left.withColumn("_t", F.col(left_time)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_left", F.lit(True))
     b = right.select(F.col(on), F.col(right_time).alias("_t"), F.col(value).alias("_v"), F.lit(False).alias("_left"))
-    every = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(on).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
-    return every.withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter("_left").select(*names, value)
+    every = a.unionByName(b, allowMissingColumns=True).withColumn("_b", number(F.col("_t")))
+    w = Window.partitionBy(on, "_b").orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, 0)
+    found = every.withColumn("_own", F.last("_v", ignorenulls=True).over(w)).filter("_left")
+    if bucket is None:
+        return found.withColumn(value, F.col("_own")).select(*names, value)
+    ends = every.groupBy(on, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_end"))
+    before = Window.partitionBy(on).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(on).alias("_on"), F.col("_b").alias("_cb"), F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    joined = found.join(carried, F.col(on).eqNullSafe(F.col("_on")) & (F.col("_b") == F.col("_cb")), "left")
+    return joined.withColumn(value, F.coalesce("_own", "_carry")).select(*names, value)
 
 
 def grid_join(points: DataFrame, boxes: DataFrame, x: Column, y: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column, size: float) -> DataFrame:

@@ -82,7 +82,7 @@ def join_as_of(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     views = ev.filter("event_type = 'view'").select("event_id", "user_id", "ts")
     buys = ev.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
-    return J.as_of_join(views, buys, "user_id", "ts", "ts", "last_value").select("event_id", "last_value")
+    return J.as_of_join(views, buys, "user_id", "ts", "ts", "last_value", bucket=lambda t: F.datediff(t, F.lit("2000-01-01").cast("date"))).select("event_id", "last_value")
 
 
 @P.plan("SELECT l_returnflag, o_orderstatus, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_returnflag, o_orderstatus")

@@ -129,6 +129,17 @@ def test_as_of_join_small(spark):
     assert got == {("a", 5): 50, ("a", 1): None, ("b", 9): None}
 
 
+def test_as_of_join_buckets(spark):
+    import random
+
+    rng = random.Random(4)
+    lt = [("ab"[rng.randrange(2)], rng.randrange(200), i) for i in range(80)]
+    rt = [("ab"[rng.randrange(2)], t, t * 10) for t in rng.sample(range(200), 40)]
+    left, right = spark.createDataFrame(lt, "k string, t int, i int"), spark.createDataFrame(rt, "k string, t int, v int")
+    got = {r["i"]: r["v"] for r in joins.as_of_join(left, right, "k", "t", "t", "v", bucket=lambda t: F.floor(t / 16)).collect()}
+    assert got == {i: max(((b, v) for kk, b, v in rt if kk == k and b <= t), default=(0, None))[1] for k, t, i in lt}
+
+
 def test_empty_inputs(spark):
     left = spark.createDataFrame([], "k string, t int")
     right = spark.createDataFrame([], "k string, t int, v int")
