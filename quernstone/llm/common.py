@@ -17,9 +17,13 @@ WS = "\\x20\\x09-\\x0D"
 
 _shipped: set[str] = set()
 
+#: Documents in a batch that goes to a Python worker: bounds what JVM and worker hold of it.
+BATCH_ROWS = 1000
+
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors, once per application."""
+    """Sends this package's sources to the executors, once per application, and bounds Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -41,6 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals an input of fewer partitions than cores to all of them.
+
+    A small file of one row group is one partition, whatever its size; inputs
+    with enough partitions stay as they are and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 

@@ -136,23 +136,23 @@ def _distance(nats: Column) -> Column:
     return F.sqrt(F.greatest(nats / _LN2, F.lit(0.0)))
 
 
-def char_distance(classes: Column, total: Column, ref: dict) -> Column:
-    parts = [_half(classes[i] / total, F.lit(float(q))) for i, q in enumerate(ref["chars"])]
-    return _distance(sum(parts[1:], parts[0]))
+def char_distance(classes: Column, total: Column, ref: Column) -> Column:
+    bins = F.sequence(F.lit(0), F.lit(len(CLASSES) - 1))
+    return _distance(F.aggregate(bins, F.lit(0.0), lambda a, i: a + _half(classes[i] / total, ref["chars"][i])))
 
 
-def word_distance(common: Column, n_words: Column, ref: dict) -> Column:
+def word_distance(common: Column, n_words: Column, ref: Column) -> Column:
     """Bins that the document lacks add half their share times ln 2."""
-    shares = F.from_json(F.lit(json.dumps(ref["words"], ensure_ascii=False)), "map<string,double>")
 
     def of(hits: Column) -> Column:
-        seen = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x["q"])
-        own = F.aggregate(hits, F.lit(0.0), lambda a, x: a + x["p"])
-        bins = F.aggregate(hits, F.lit(0.0), lambda a, x: a + _half(x["p"], x["q"]))
-        listed = sum(ref["words"].values())
-        return bins + (F.lit(listed) - seen) * (_LN2 / 2) + _half(F.greatest(1.0 - own, F.lit(0.0)), F.lit(max(0.0, 1.0 - listed)))
-
-    hits = F.filter(F.transform(common, lambda x: F.struct((x["n"] / n_words).alias("p"), shares[x["w"]].alias("q"))), lambda x: x["q"].isNotNull())
+        sums = F.aggregate(
+            hits,
+            F.struct(F.lit(0.0).alias("own"), F.lit(0.0).alias("seen"), F.lit(0.0).alias("bins")),
+            lambda a, x: F.struct((a["own"] + x["p"]).alias("own"), (a["seen"] + x["q"]).alias("seen"), (a["bins"] + _half(x["p"], x["q"])).alias("bins")),
+        )
+        return let(sums, lambda s: s["bins"] + (ref["listed"] - s["seen"]) * (_LN2 / 2) + _half(F.greatest(1.0 - s["own"], F.lit(0.0)), F.greatest(1.0 - ref["listed"], F.lit(0.0))))
+
+    hits = F.filter(F.transform(common, lambda x: F.struct((x["n"] / n_words).alias("p"), ref["words"][x["w"]].alias("q"))), lambda x: x["q"].isNotNull())
     return _distance(let(hits, of))
 
 
@@ -160,18 +160,17 @@ def judged(rows: DataFrame, refs: dict[str, dict], char_limit: float, word_limit
     """Adds both distances and ``odd``: one of them is over its limit."""
     total = F.greatest(F.col("word_chars"), F.lit(1))
     count = F.greatest(F.col("n_words"), F.lit(1))
-
-    def nearest(of) -> Column:
-        if not refs:
-            return F.lit(None).cast("double")
-        known = F.lit(None).cast("double")
-        for lang, ref in sorted(refs.items()):
-            known = F.when(F.col("lang") == lang, of(ref)).otherwise(known)
-        every = [of(r) for _, r in sorted(refs.items())]
-        return F.coalesce(known, F.least(*every) if len(every) > 1 else every[0])
-
-    chars, words = nearest(lambda r: char_distance(F.col("classes"), total, r)), nearest(lambda r: word_distance(F.col("common"), count, r))
-    rows = rows.withColumn("char_distance", chars).withColumn("word_distance", words)
+    known = json.dumps([{"lang": k, "chars": r["chars"], "words": r["words"], "listed": sum(r["words"].values())} for k, r in sorted(refs.items())], ensure_ascii=False)
+    every = F.from_json(F.lit(known), "array<struct<lang:string,chars:array<double>,words:map<string,double>,listed:double>>")
+    own = F.when(F.col("lang").isin(sorted(refs)), F.filter(every, lambda r: r["lang"] == F.col("lang"))).otherwise(every) if refs else every
+    far = let(
+        own,
+        lambda near: F.struct(
+            F.array_min(F.transform(near, lambda r: char_distance(F.col("classes"), total, r))).alias("c"),
+            F.array_min(F.transform(near, lambda r: word_distance(F.col("common"), count, r))).alias("w"),
+        ),
+    )
+    rows = rows.withColumn("far", far).withColumn("char_distance", F.col("far.c")).withColumn("word_distance", F.col("far.w")).drop("far")
     odd = ((F.col("word_chars") >= MIN_CHARS) & (F.col("char_distance") > char_limit + CHAR_NOISE / F.sqrt(total))) | (
         (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > word_limit + WORD_NOISE / F.sqrt(count))
     )

@@ -13,6 +13,7 @@ the order of a hash); what the driver receives of a row is its n-gram numbers,
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,6 +51,16 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.unique(hashes(text)).astype(np.int32)
 
 
+def encode(grams: np.ndarray) -> bytes:
+    """Sorted distinct numbers as compressed differences."""
+    return zlib.compress(np.diff(grams, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def decode(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
+
+
 class Weights:
     """A bias and a weight per n-gram number; weights travel as two short arrays."""
 
@@ -135,14 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [ngrams(t.as_py()).tobytes() for t in batch.column(1)]
+            sets = [encode(ngrams(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["y", "grams"])
 
     rows = found.mapInArrow(run, "y int, grams binary").collect()
-    rows.sort(key=lambda r: (r["y"], bytes(r["grams"])))  # the same order, whatever the partitions
-    sets = [np.frombuffer(bytes(r["grams"]), np.int32) for r in rows]
+    rows.sort(key=lambda r: (r["y"], r["grams"]))  # the same order, whatever the partitions
     total = max(1, sum(counts.values()))
-    return fit(sets, np.array([r["y"] for r in rows]), counts.get(1, 0) / total)
+    return fit([decode(r["grams"]) for r in rows], np.array([r["y"] for r in rows]), counts.get(1, 0) / total)
 
 
 def classify(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

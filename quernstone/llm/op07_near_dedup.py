@@ -8,7 +8,7 @@ node.  Similar documents choose the same child with high probability, others
 part.  A node with at most SMALL documents is a leaf: its documents are compared
 exhaustively, first by their tokens, and what may be a link by the full sets.
 Trees are repeated until a pair at the threshold is missed with a probability
-below one in ten thousand.
+below one in ten thousand (if tokens were independent).
 
 Connections matter, not pairs: documents with equal sets are one vertex from
 the start; a leaf verifies a pair only if no link between their pieces is known

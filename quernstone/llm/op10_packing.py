@@ -4,7 +4,8 @@ Method.  Documents become pieces of at most ``capacity`` tokens.  Pieces are
 dealt to partitions of bounded size; each partition is packed by best-fit
 decreasing, and dual-feasible functions give a lower bound on the bins that its
 pieces need.  A partition whose count meets its bound is certified: it keeps
-its bins, but for the least filled one.  A partition with a gap keeps its full
+its bins, but for the least filled one.  A partition with a gap is packed once
+more by subset sums; if the gap stays, it keeps its full
 bins and gives the pieces of its worst filled ones (an eighth of its pieces at
 most) to an exchange: the given pieces of eight partitions meet in one
 partition of the next level, which is packed again.  The number of partitions
@@ -127,6 +128,49 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return where, place, np.array(free, np.int64)
 
 
+def fill_by_sums(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin by bin: the largest item left, and of the others a set whose sum comes nearest to the room.
+
+    Sums are bits of an integer; large sizes are tried first, so that small ones
+    are left for later bins.  The same results as ``best_fit_decreasing``.
+    """
+    left: dict[int, list[int]] = {}
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        left.setdefault(int(sizes[i]), []).append(i)
+    order = sorted(left, reverse=True)
+    where, place, free = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), []
+    while order:
+        room = capacity - order[0]
+        taken = [order[0]]
+        reach, goal = [1], 1 << room
+        steps = []
+        for k, size in enumerate(order):
+            if size > room:
+                continue
+            for _ in range(min(len(left[size]) - (k == 0), room // size, 4)):
+                steps.append(size)
+                reach.append((reach[-1] | reach[-1] << size) & (2 * goal - 1))
+                if reach[-1] & goal:
+                    break
+            if reach[-1] & goal:
+                break
+        rest = reach[-1].bit_length() - 1
+        for k in range(len(steps) - 1, -1, -1):
+            if not reach[k] >> rest & 1:
+                taken.append(steps[k])
+                rest -= steps[k]
+        at = 0
+        for size in taken:
+            i = left[size].pop()
+            where[i], place[i] = len(free), at
+            at += size
+            if not left[size]:
+                del left[size]
+                order.remove(size)
+        free.append(capacity - at)
+    return where, place, np.array(free, np.int64)
+
+
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """The best of several dual-feasible-function bounds on the number of bins (exact integers)."""
     if not len(sizes):
@@ -151,7 +195,12 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 def pack_block(sizes: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """(bin, place, kept) per item and whether the block's bin count meets its bound."""
     where, place, free = best_fit_decreasing(sizes, capacity)
-    certified = len(free) == lower_bound(sizes, capacity)
+    bound = lower_bound(sizes, capacity)
+    if len(free) > bound:
+        again = fill_by_sums(sizes, capacity)
+        if len(again[2]) < len(free):
+            where, place, free = again
+    certified = len(free) == bound
     kept_bin = np.ones(len(free), bool)
     if not last and len(free):
         worst = np.argsort(-free, kind="stable")

@@ -15,28 +15,28 @@ from quernstone.llm import (
     op10_packing,
     oracles,
 )
-from quernstone.llm.common import table
+from quernstone.llm.common import spread, table
 
 
 def op1_quality_divergence(spark, sf_dir):
-    rows = op01_quality_divergence.quality(table(spark, sf_dir, "documents"))
+    rows = op01_quality_divergence.quality(spread(table(spark, sf_dir, "documents")))
     return rows.drop("char_distance", "word_distance")
 
 
 def op2_toxicity(spark, sf_dir):
-    return op02_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return op02_toxicity.toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op3_decontamination(spark, sf_dir):
-    return op03_decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return op03_decontamination.contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op4_html_extraction(spark, sf_dir):
-    return op04_html.extract(table(spark, sf_dir, "pages"))
+    return op04_html.extract(spread(table(spark, sf_dir, "pages")))
 
 
 def op5_secret_scan(spark, sf_dir):
-    return op05_secrets.scan(table(spark, sf_dir, "documents"))
+    return op05_secrets.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_sharding(spark, sf_dir):
@@ -44,19 +44,19 @@ def op6_sharding(spark, sf_dir):
 
 
 def op7_near_dedup(spark, sf_dir):
-    return op07_near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return op07_near_dedup.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_token_counts(spark, sf_dir):
-    return op08_token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return op08_token_counts.token_counts(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_license_scan(spark, sf_dir):
-    return op09_licenses.scan(table(spark, sf_dir, "documents"))
+    return op09_licenses.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_best_fit_packing(spark, sf_dir):
-    return op10_packing.pack_documents(table(spark, sf_dir, "documents"))
+    return op10_packing.pack_documents(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = (

@@ -55,6 +55,15 @@ def test_op2_learns():
     assert score(long_text) < 0.5
 
 
+def test_op2_grams_round_trip():
+    import numpy as np
+
+    for t in ("", "a", "some text of words", "é" * 500):
+        assert (o2.decode(o2.encode(o2.ngrams(t))) == o2.ngrams(t)).all()
+    far = np.array([0, 5, (1 << o2.BITS) - 1], np.int32)
+    assert (o2.decode(o2.encode(far)) == far).all()
+
+
 def test_op2_scorer_counts_each_gram_once():
     import numpy as np
 

@@ -215,6 +215,11 @@ def test_op10_bound_and_bfd():
         where, place, free = o10.best_fit_decreasing(sizes, 2048)
         assert -(-sizes.sum() // 2048) <= bound <= len(free)
         assert all(2048 - free[b] == sizes[where == b].sum() for b in range(len(free))) and free.min() >= 0
+        where, place, again = o10.fill_by_sums(sizes, 2048)
+        assert bound <= len(again) and all(2048 - again[b] == sizes[where == b].sum() for b in range(len(again)))
+        for b in range(len(again)):
+            at = np.sort(place[where == b])
+            assert at[0] == 0 and (np.diff(at) > 0).all()
     assert o10.lower_bound(np.full(50, 1100), 2048) == 50 and o10.lower_bound(np.full(9, 700), 2048) == 5
 
 
@@ -252,3 +257,11 @@ def test_stages_bear_hard_rows(spark, hard, none, tmp_path):
             if name != "packing":
                 assert out.columns == docs.columns
             out.collect()
+
+
+def test_near_dedup_stage_keeps_rows_without_id(spark):
+    import corpus_pipeline as p
+
+    rows = [(None, prose(1, 30)), (None, prose(2, 30)), (1, prose(3, 30)), (1, prose(3, 30)), (2, prose(4, 30)), (3, prose(4, 30)), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in p.near_dedup(spark, docs, "").collect()) == ["1", "2", "4", "None", "None"]
