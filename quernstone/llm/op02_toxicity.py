@@ -1,14 +1,15 @@
 """Toxicity: character n-gram linear classifier over naive-Bayes log-count ratios.
 
-Method.  A text is the set of its hashed byte n-grams (lower case, n = 3..5,
-over the whole text).  From labelled texts the log-count ratio of each n-gram
-between the classes is taken; presences are scaled by these ratios and a
-logistic regression is fitted on them.  The two vectors collapse into one
-weight per n-gram, so a score is one sum over the text's n-grams.
+Method.  A text is the set of its hashed byte n-grams (lower case, n = 3..7,
+over the whole text), each in two grades: it occurs, and it is dense (it recurs,
+and often for the text's length).  From labelled texts the log-count ratio of
+each graded n-gram between the classes is taken; presences are scaled by these
+ratios and a logistic regression is fitted on them.  The two vectors collapse
+into one weight per graded n-gram, so a score is one sum over the text's.
 
 The training rows are a bounded sample (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, by
 the order of a hash); what the driver receives of a row is its n-gram numbers,
-2**BITS of them at most.  Every document is scored in one narrow pass.
+2 * SIZE of them at most.  Every document is scored in one narrow pass.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Size of the hashed feature space, and the n-gram lengths.
-BITS, LENGTHS = 20, (3, 4, 5)
+BITS, LENGTHS = 20, (3, 4, 5, 6, 7)
+SIZE = 1 << BITS
+#: An n-gram is dense with so many places and at least one in so many bytes.
+DENSE_PLACES, DENSE_BYTES = 2, 600
 #: Bounds of the training sample.
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
 #: An n-gram must be in so many training texts, and tell the classes apart so much.
-LEAST_TEXTS, LEAST_RATIO = 8, 0.7
+LEAST_TEXTS, LEAST_RATIO = 12, 1.2
 EPOCHS, L2 = 120, 2e-2
 
 
@@ -46,9 +50,16 @@ def hashes(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+def dense(count: np.ndarray, places: int) -> np.ndarray:
+    """Which n-grams are dense, from their counts and the number of all places."""
+    return (count >= DENSE_PLACES) & (count * (DENSE_BYTES * len(LENGTHS)) >= places)
+
+
 def ngrams(text: str | None) -> np.ndarray:
-    """Sorted distinct n-gram numbers of a whole text."""
-    return np.unique(hashes(text)).astype(np.int32)
+    """Sorted distinct n-gram numbers of a whole text; dense ones again, SIZE higher."""
+    h = hashes(text)
+    found, count = np.unique(h, return_counts=True)
+    return np.concatenate((found, found[dense(count, len(h))] + SIZE)).astype(np.int32)
 
 
 def encode(grams: np.ndarray) -> bytes:
@@ -62,21 +73,16 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Weights:
-    """A bias and a weight per n-gram number; weights travel as two short arrays."""
+    """A bias and a weight per graded n-gram number; weights travel as two short arrays."""
 
     def __init__(self, at: np.ndarray, value: np.ndarray, bias: float):
         self.at, self.value, self.bias = at, value, bias
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros(1 << BITS, np.float32)
-        out[self.at] = self.value
-        return out
-
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> Weights:
     """Weights from labelled n-gram sets; ``prior`` is the share of label 1 among all labelled rows."""
     y = np.asarray(labels, np.float64)
-    size = 1 << BITS
+    size = 2 * SIZE
     prior = min(max(prior, 1e-6), 1 - 1e-6)
     none = Weights(np.empty(0, np.int64), np.empty(0, np.float32), float(np.log(prior / (1 - prior))))
     if not len(y) or y.min() == y.max():
@@ -111,19 +117,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> Weights:
 
 
 class Scorer:
-    """Scores texts; an n-gram counts once, at the last of its places that is noted in ``owner``."""
+    """Scores texts from the counts of the n-grams that have a weight."""
 
     def __init__(self, weights: Weights):
-        self.dense, self.bias = weights.dense(), weights.bias
-        self.owner = np.zeros(1 << BITS, np.int32)
+        used = np.unique(weights.at % SIZE)
+        self.slot = np.full(SIZE, len(used), np.int32)
+        self.slot[used] = np.arange(len(used))
+        self.value, self.bias = np.zeros((2, len(used))), weights.bias
+        self.value[weights.at // SIZE, self.slot[weights.at % SIZE]] = weights.value
 
     def __call__(self, text: str | None) -> float:
         h = hashes(text)
-        w = self.dense[h]
-        use = np.flatnonzero(w)
-        h, w, place = h[use], w[use], np.arange(len(use), dtype=np.int32)
-        self.owner[h] = place
-        z = self.bias + float(np.sort(w[self.owner[h] == place]).sum(dtype=np.float64))
+        count = np.bincount(self.slot[h], minlength=self.value.shape[1] + 1)[:-1]
+        at = np.flatnonzero(count)
+        z = self.bias + float(self.value[0, at].sum() + self.value[1, at[dense(count[at], len(h))]].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 

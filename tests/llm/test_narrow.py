@@ -64,14 +64,26 @@ def test_op2_grams_round_trip():
     assert (o2.decode(o2.encode(far)) == far).all()
 
 
-def test_op2_scorer_counts_each_gram_once():
+def test_op2_scorer_like_dense_weights():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    w = o2.Weights(np.arange(0, 1 << o2.BITS, 3), rng.normal(size=-(-(1 << o2.BITS) // 3)).astype(np.float32) / 100, -0.1)
-    for t in ("", "a", "abc", "repeat repeat repeat repeat", "Ünïcode"):
-        z = w.bias + float(w.dense()[o2.ngrams(t)].sum(dtype=np.float64))
-        assert o2.Scorer(w)(t) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    at = np.arange(0, 2 * o2.SIZE, 3)
+    w = o2.Weights(at, rng.normal(size=len(at)).astype(np.float32) / 100, -0.1)
+    every = np.zeros(2 * o2.SIZE)
+    every[at] = w.value
+    score = o2.Scorer(w)
+    for t in (None, "", "a", "abc", "repeat repeat repeat repeat", "Ünïcode", "once only " + "x" * 2000 + " and again only once"):
+        z = w.bias + float(every[o2.ngrams(t)].sum())
+        assert score(t) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_op2_dense_grade():
+    once, twice = o2.ngrams("alpha beta gamma"), o2.ngrams("alpha beta alpha")
+    assert (once < o2.SIZE).all() and (twice >= o2.SIZE).any()
+    far = "alpha " + "zyxw " * 1000 + "alpha"
+    lone = set(o2.ngrams("alpha").tolist()) - set(o2.ngrams("zyxw " * 5).tolist())
+    assert not any(g + o2.SIZE in o2.ngrams(far).tolist() for g in lone)
 
 
 # ---- 4 ------------------------------------------------------------------------------
