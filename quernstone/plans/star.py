@@ -2,7 +2,9 @@
 
 Shapes follow the public Star Schema Benchmark and TPC-H, with the columns that
 the driver tables have.  Dimensions are small beside the fact table; whether a
-side is broadcast is left to its measured size (AQE), never to a hint.
+side is broadcast is left to its measured size (AQE), never to a hint.  Sums of
+products are rounded to all the decimals they can have: no tie hangs on the
+order in which doubles were added.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ REV = "sum(l_extendedprice * (1 - l_discount))"
 
 
 @P.plan(
-    """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem
+    """SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24"""
 )
 def flagship_revenue(spark, sf_dir):
@@ -28,11 +30,11 @@ def flagship_revenue(spark, sf_dir):
         & (F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
         & F.col("l_discount").between(0.05, 0.07)
         & (F.col("l_quantity") < 24)
-    ).agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("revenue"))
+    ).agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 4).alias("revenue"))
 
 
 # ---- star schema, flights 1 to 4 -------------------------------------------
-FLIGHT1 = """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue
+FLIGHT1 = """SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {w}"""
 P.same("ssb_q11", FLIGHT1.format(w="year(o_orderdate) = 1997 AND l_discount BETWEEN 0.01 AND 0.03 AND l_quantity < 25"))
 P.same("ssb_q12", FLIGHT1.format(w="year(o_orderdate) = 1998 AND month(o_orderdate) = 1 AND l_discount BETWEEN 0.04 AND 0.06 AND l_quantity BETWEEN 26 AND 35"))
@@ -56,7 +58,7 @@ P.same("ssb_q32", FLIGHT3.format(w="cn.n_name = 'NATION_7' AND sn.n_name IN ('NA
 P.same("ssb_q33", FLIGHT3.format(w="(cn.n_name = 'NATION_1' OR cn.n_name = 'NATION_5') AND (sn.n_name = 'NATION_1' OR sn.n_name = 'NATION_5') AND year(o_orderdate) BETWEEN 1995 AND 2001"))
 P.same("ssb_q34", FLIGHT3.format(w="(cn.n_name = 'NATION_1' OR cn.n_name = 'NATION_5') AND (sn.n_name = 'NATION_1' OR sn.n_name = 'NATION_5') AND year(o_orderdate) = 1997 AND month(o_orderdate) = 12"))
 
-FLIGHT4 = """SELECT CAST(year(o_orderdate) AS BIGINT) AS d_year, {k} AS k, round(sum(l_extendedprice - l_quantity * p_retailprice * 0.5), 2) AS profit
+FLIGHT4 = """SELECT CAST(year(o_orderdate) AS BIGINT) AS d_year, {k} AS k, round(sum(l_extendedprice - l_quantity * p_retailprice * 0.5), 4) AS profit
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
 JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey
 WHERE {w} GROUP BY year(o_orderdate), {k} ORDER BY d_year, k"""
@@ -68,7 +70,7 @@ P.same("ssb_q43", FLIGHT4.format(k="p_brand", w="sn.n_name = 'NATION_6' AND year
 P.same(
     "tpch_q1",
     f"""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-round({REV}, 2) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
+round({REV}, 4) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
 round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
 )
@@ -81,7 +83,7 @@ ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
 )
 P.same(
     "tpch_q3",
-    f"""SELECT l_orderkey, round({REV}, 2) AS revenue, o_orderdate, o_orderpriority FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+    f"""SELECT l_orderkey, round({REV}, 4) AS revenue, o_orderdate, o_orderpriority FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-03-15' AND l_shipdate > TIMESTAMP '1998-03-15'
 GROUP BY l_orderkey, o_orderdate, o_orderpriority ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
 )
@@ -92,14 +94,14 @@ AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate
 )
 P.same(
     "tpch_q5",
-    f"""SELECT n_name, round({REV}, 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+    f"""SELECT n_name, round({REV}, 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
 JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY n_name ORDER BY revenue DESC""",
 )
-P.same("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+P.same("tpch_q6", "SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 P.same(
     "tpch_q7",
-    f"""SELECT supp_nation, cust_nation, l_year, round(sum(volume), 2) AS revenue FROM (
+    f"""SELECT supp_nation, cust_nation, l_year, round(sum(volume), 4) AS revenue FROM (
 SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(extract(year FROM l_shipdate) AS BIGINT) AS l_year, l_extendedprice * (1 - l_discount) AS volume
 FROM supplier JOIN lineitem ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
 JOIN nation n1 ON s_nationkey = n1.n_nationkey JOIN nation n2 ON c_nationkey = n2.n_nationkey
@@ -116,14 +118,14 @@ WHERE p_type = 'ECONOMY') x GROUP BY o_year ORDER BY o_year""",
 )
 P.same(
     "tpch_q9",
-    """SELECT nation_name, o_year, round(sum(amount), 2) AS sum_profit FROM (
+    """SELECT nation_name, o_year, round(sum(amount), 4) AS sum_profit FROM (
 SELECT n_name AS nation_name, CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity * 0.1 AS amount
 FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN nation ON s_nationkey = n_nationkey
 WHERE p_brand LIKE '%#2%') p GROUP BY nation_name, o_year ORDER BY nation_name, o_year DESC""",
 )
 P.same(
     "tpch_q10",
-    f"""SELECT c_custkey, c_name, round({REV}, 2) AS revenue, c_acctbal, n_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
+    f"""SELECT c_custkey, c_name, round({REV}, 4) AS revenue, c_acctbal, n_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
 WHERE o_orderdate >= TIMESTAMP '1996-10-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
 )
 P.same(
@@ -149,7 +151,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= TIMESTAMP '
 )
 P.same(
     "tpch_q15",
-    f"""WITH revenue AS (SELECT l_suppkey AS supplier_no, round({REV}, 2) AS total_revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-04-01' GROUP BY l_suppkey)
+    f"""WITH revenue AS (SELECT l_suppkey AS supplier_no, round({REV}, 4) AS total_revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-04-01' GROUP BY l_suppkey)
 SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN revenue ON s_suppkey = supplier_no WHERE total_revenue = (SELECT max(total_revenue) FROM revenue) ORDER BY s_suppkey""",
 )
 P.same(
@@ -171,7 +173,7 @@ GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_tot
 )
 P.same(
     "tpch_q19",
-    f"""SELECT round({REV}, 2) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
+    f"""SELECT round({REV}, 4) AS revenue FROM lineitem JOIN part ON p_partkey = l_partkey
 WHERE (p_brand = 'Brand#1' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15) OR (p_brand = 'Brand#2' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30)
 OR (p_brand = 'Brand#3' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 45)""",
 )
@@ -194,13 +196,13 @@ AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalpric
 )
 P.same(
     "star_rank_topk",
-    f"""SELECT region_name, supp_name, rev, CAST(rnk AS BIGINT) AS rnk FROM (SELECT r_name AS region_name, s_name AS supp_name, round({REV}, 2) AS rev,
-rank() OVER (PARTITION BY r_name ORDER BY round({REV}, 2) DESC) AS rnk
+    f"""SELECT region_name, supp_name, rev, CAST(rnk AS BIGINT) AS rnk FROM (SELECT r_name AS region_name, s_name AS supp_name, round({REV}, 4) AS rev,
+rank() OVER (PARTITION BY r_name ORDER BY round({REV}, 4) DESC) AS rnk
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, s_name) x WHERE rnk <= 3""",
 )
 P.same(
     "star_topk_limit",
-    f"""SELECT n_name, c_mktsegment, round({REV}, 2) AS rev FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON l_suppkey = s_suppkey
+    f"""SELECT n_name, c_mktsegment, round({REV}, 4) AS rev FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON l_suppkey = s_suppkey
 GROUP BY n_name, c_mktsegment ORDER BY rev DESC, n_name, c_mktsegment LIMIT 10""",
 )
 
