@@ -1,6 +1,6 @@
 """Toxicity: character n-gram linear classifier over naive-Bayes log-count ratios.
 
-Method.  A text is the set of its hashed byte n-grams (lower case, n = 3..7,
+Method.  A text is the set of its hashed byte n-grams (lower case, n = 3..5,
 over the whole text), each in two grades: it occurs, and it is dense (it recurs,
 and often for the text's length).  From labelled texts the log-count ratio of
 each graded n-gram between the classes is taken; presences are scaled by these
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Size of the hashed feature space, and the n-gram lengths.
-BITS, LENGTHS = 20, (3, 4, 5, 6, 7)
+BITS, LENGTHS = 20, (3, 4, 5)
 SIZE = 1 << BITS
 #: An n-gram is dense with so many places and at least one in so many bytes.
 DENSE_PLACES, DENSE_BYTES = 2, 600
@@ -72,6 +72,19 @@ def decode(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
 
 
+class Encoded:
+    """Encoded sets, decoded one at a time: the driver never holds more than one decoded."""
+
+    def __init__(self, sets: list[bytes]):
+        self.sets = sets
+
+    def __len__(self) -> int:
+        return len(self.sets)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return map(decode, self.sets)
+
+
 class Weights:
     """A bias and a weight per graded n-gram number; weights travel as two short arrays."""
 
@@ -79,7 +92,7 @@ class Weights:
         self.at, self.value, self.bias = at, value, bias
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> Weights:
+def fit(rows: list[np.ndarray] | Encoded, labels: np.ndarray, prior: float) -> Weights:
     """Weights from labelled n-gram sets; ``prior`` is the share of label 1 among all labelled rows."""
     y = np.asarray(labels, np.float64)
     size = 2 * SIZE
@@ -87,20 +100,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float) -> Weights:
     none = Weights(np.empty(0, np.int64), np.empty(0, np.float32), float(np.log(prior / (1 - prior))))
     if not len(y) or y.min() == y.max():
         return none
-    pos, neg = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    pos, neg = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for r, label in zip(rows, y, strict=True):
         (pos if label else neg)[r] += 1
-    p, q = (pos + 1.0) / (y.sum() + 2), (neg + 1.0) / (len(y) - y.sum() + 2)
+    use = np.flatnonzero(pos + neg >= LEAST_TEXTS)
+    p, q = (pos[use] + 1.0) / (y.sum() + 2), (neg[use] + 1.0) / (len(y) - y.sum() + 2)
     ratio = np.log(p / q)
-    use = np.flatnonzero((pos + neg >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
+    use, r = use[np.abs(ratio) >= LEAST_RATIO], ratio[np.abs(ratio) >= LEAST_RATIO]
     if not len(use):
         return none
-    number = np.full(size, -1, np.int64)
+    number = np.full(size, -1, np.int32)
     number[use] = np.arange(len(use))
     picked = [x[x >= 0] for x in (number[r] for r in rows)]
     which, ends = np.concatenate(picked), np.cumsum([len(x) for x in picked])
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in picked])
-    r = ratio[use]
     scaled = r[which]
     w, b = np.ones(len(use)) * 0.05, 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -159,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = found.mapInArrow(run, "y int, grams binary").collect()
     rows.sort(key=lambda r: (r["y"], r["grams"]))  # the same order, whatever the partitions
     total = max(1, sum(counts.values()))
-    return fit([decode(r["grams"]) for r in rows], np.array([r["y"] for r in rows]), counts.get(1, 0) / total)
+    return fit(Encoded([r["grams"] for r in rows]), np.array([r["y"] for r in rows]), counts.get(1, 0) / total)
 
 
 def classify(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
