@@ -11,7 +11,7 @@ FLOATS = {"f4": "FLOAT", "f8": "DOUBLE"}
 NUMERIC = {"n": "DECIMAL(12, 3)"}
 ALL = {**INTS, **FLOATS, **NUMERIC}
 
-_SRC = "(SELECT l_orderkey, l_linenumber AS a, CAST(l_quantity AS INT) % 9 - 4 AS b FROM lineitem WHERE l_orderkey < 4000) s"
+_SRC = "(SELECT l_orderkey, l_linenumber AS a, CAST(l_quantity AS INT) % 9 - 4 AS b FROM lineitem) s"
 
 
 def _pairs(types: dict[str, str]):
@@ -31,7 +31,7 @@ for _op, _name in (("=", "eq"), ("<>", "ne"), ("<", "lt"), ("<=", "le"), (">", "
     P.same(f"matrix_{_name}", "SELECT " + ", ".join(f"count(CASE WHEN CAST(a AS {ALL[x]}) {_op} CAST(b AS {ALL[y]}) THEN 1 END) AS {x}_{y}" for x, y in _pairs(ALL)) + f" FROM {_SRC}")
 
 # casts between integers, and from floats by half-even rounding
-_HALF = "(SELECT l_linenumber, l_quantity / 2 AS h FROM lineitem WHERE l_orderkey < 4000) s"
+_HALF = "(SELECT l_linenumber, l_quantity / 2 AS h FROM lineitem) s"
 _CAST = "SELECT " + ", ".join(f"CAST(sum(CAST({{r}}(CAST(h AS {FLOATS[x]}){{z}}) AS {INTS[y]})) AS BIGINT) AS {x}_{y}" for x in FLOATS for y in INTS) + f" FROM {_HALF}"
 P.same("matrix_cast_float_int", _CAST.format(r="rint", z=""), _CAST.format(r="round_even", z=", 0"))
 P.same("matrix_cast_int", "SELECT " + ", ".join(f"CAST(sum(CAST(CAST(a AS {ALL[x]}) AS {INTS[y]})) AS BIGINT) AS {x}_{y}" for x in (*INTS, "n") for y in INTS) + f" FROM {_SRC}")
