@@ -32,3 +32,8 @@ def test_matrix(spark, sizes):
     assert set(one("matrix_cast_int").values()) == {want["a"]} and set(one("matrix_cast_float_int").values()) == {want["h"]}
     for t in ("i1", "i2", "i4", "i8", "f4", "f8", "n"):
         assert sum(r["n"] for r in QUERIES[f"matrix_agg_{t}"](spark, SF).collect()) == want["n"]
+
+
+@pytest.mark.parametrize(("name", "size"), [("arith_ops", "lineitem"), ("bitwise_ops", "pairs"), ("bitwise_shift", "lineitem"), ("math_fns", "lineitem"), ("trig_fns", "lineitem"), ("round_half_even", "lineitem"), ("casts_numeric", "orders")])
+def test_scalar(spark, sizes, name, size):
+    assert QUERIES[name](spark, SF).count() == sizes[size]
