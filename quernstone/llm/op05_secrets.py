@@ -5,9 +5,11 @@ examples over character classes.  States whose outgoing and final frequencies
 are statistically compatible (Hoeffding bound, checked recursively) are merged
 in red-blue order, which leaves a small deterministic probabilistic automaton.
 Each transition keeps the counts of the characters that took it.  A candidate
-is any maximal run of credential characters; it is scored by every automaton as
-bits per character against a uniform background, and is a secret if it beats
-the family's limit, which labelled examples held out from the inference set.
+is any part of a maximal run of credential characters, so that one glued to a
+name, an address or other text is seen; every automaton starts at every place
+and scores what it reads as bits per character against a uniform background.
+The longest part that beats the family's limit, which labelled examples held
+out from the inference set, is a secret.
 
 The labelled examples are made from the published formats of the families; no
 real credential and nothing of the corpus is in them.
@@ -34,6 +36,10 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # shorter runs can't hold a match; a run is matched whole
+#: Runs longer than this are read once from the right, which finds the places worth a start in linear time.
+LONG_RUN = 512
+#: A part that starts inside of another of its family is followed so far; credentials of the published formats are shorter.
+OVERLAP = 512
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -191,6 +197,36 @@ class Automaton:
             q = move[1]
         return (total + self.table[q][1]) / len(s)
 
+    def longest(self, s: str, at: int, stop: int, limit: float, least: int) -> tuple[int, float] | None:
+        """(end, bits) of the longest part from a place on that beats the limit; one that ends in punctuation only if no other does."""
+        q, total, found, loose = 0, 0.0, None, None
+        for i in range(at, stop):
+            move = self.table[q][0].get(s[i])
+            if move is None:
+                break
+            total += move[0]
+            q = move[1]
+            n = i + 1 - at
+            if n >= least and (b := (total + self.table[q][1]) / n) >= limit:
+                if s[i] in ".=-":
+                    loose = (i + 1, b)
+                else:
+                    found = (i + 1, b)
+        return found or loose
+
+    def reach(self, s: str, limit: float) -> list[float]:
+        """For every place: the most bits over the limit that any part from there has."""
+        ahead = [final for _, final in self.table]
+        out = []
+        for c in reversed(s):
+            now = []
+            for row, final in self.table:
+                move = row.get(c)
+                now.append(final if move is None else max(final, move[0] - limit + ahead[move[1]]))
+            ahead = now
+            out.append(now[0])
+        return out[::-1]
+
 
 class Model:
     """The automata of all families and their limits."""
@@ -204,15 +240,30 @@ class Model:
             held = [a.bits(s) for s in known[cut:] or known[:cut]]
             limit = min((b for b in held if b > -math.inf), default=math.inf) - MARGIN
             self.parts[family] = (a, limit, min(map(len, known)))
-        self.first = frozenset(c for a, _, _ in self.parts.values() for c in a.table[0][0] if a.chars[0].get(_class(c), {}).get(c))
 
     def score(self, s: str) -> tuple[float, str] | None:
         """(bits, family) of the best family that accepts the candidate."""
-        if s[0] not in self.first:
-            return None
         found = [(b - limit, f) for f, (a, limit, least) in self.parts.items() if len(s) >= least and (b := a.bits(s)) >= limit]
         return max(found) if found else None
 
+    def parts_of(self, s: str) -> list[tuple[int, int, str]]:
+        """(start, end, family) of the parts of a run that beat a limit, without those inside of others."""
+        found = []
+        for family, (a, limit, least) in self.parts.items():
+            ahead, covered = a.reach(s, limit) if len(s) > LONG_RUN else None, 0
+            for at in range(len(s) - least + 1):
+                if at + OVERLAP <= covered or (ahead and ahead[at] < -1e-6):
+                    continue
+                if hit := a.longest(s, at, min(len(s), at + OVERLAP) if at < covered else len(s), limit, least):
+                    covered = max(covered, hit[0])
+                    found.append((at, -hit[0], limit - hit[1], family))
+        out, covered = [], 0
+        for start, end, _, family in sorted(found):
+            if -end > covered:
+                out.append((start, -end, family))
+                covered = -end
+        return out
+
 
 _model: list[Model] = []
 
@@ -239,11 +290,10 @@ def find_spans(text: str | None, model: Model | None = None) -> tuple[list[tuple
     model = model or default_model()
     base, more = base_spans(text), []
     for m in RUN.finditer(text):
-        s = m.group().strip(".=-") if m.group()[-1] in ".=-" or m.group()[0] in ".=-" else m.group()
-        if len(s) >= 16 and (hit := model.score(s)):
-            start = m.start() + m.group().index(s)
-            if not any(b <= start and start + len(s) <= e for b, _, e in base):
-                more.append((start, f"auto_{hit[1]}", start + len(s)))
+        for start, end, family in model.parts_of(m.group()):
+            start, end = m.start() + start, m.start() + end
+            if not any(b <= start and end <= e for b, _, e in base):
+                more.append((start, f"auto_{family}", end))
     return base, more
 
 

@@ -168,6 +168,29 @@ def test_op5_redacts(hard, spark):
     assert o5.redact(hard).columns == hard.columns and o5.redact(hard).count() == hard.count()
 
 
+def test_op5_glued():
+    """Credentials that are part of a longer run: after a name, in an address, before other text, in a long blob."""
+    for family in o5.FORMATS:
+        for k, key in enumerate(s for s in o5.labelled(family, 12, 78) if o5.default_model().score(s)):
+            for before, after in (("STRIPE_KEY=", ""), ("https://host/a/", "/x.git"), ("https://h.example/q?a=b/key=", "="), ("x+", "+y"), ("0/" * 400, "/" + "+0" * 400)):
+                text = f"see {before}{key}{after} there"
+                start = 4 + len(before)
+                base, more = o5.find_spans(text)
+                spans = [(s, e) for s, _, e in base + more]
+                assert any(s <= start and start + len(key) <= e for s, e in spans), (family, k, before)
+                assert key not in o5.redact_text(text)
+
+
+def test_op5_long_runs_as_short(monkeypatch):
+    import random
+
+    rng, m = random.Random(5), o5.default_model()
+    runs = ["".join(rng.choice(["/", "=", "-", "_", "aB3", "AIza", "ghp_", "AKIA", rng.choice(o5.labelled(f, 3, 9))]) for _ in range(12)) for f in o5.FORMATS for _ in range(6)]
+    short = [m.parts_of(s) for s in runs]
+    monkeypatch.setattr(o5, "LONG_RUN", 0)
+    assert [m.parts_of(s) for s in runs] == short and sum(map(len, short)) > 40
+
+
 # ---- 8 ------------------------------------------------------------------------------
 def test_op8_counts(hard, small, none, tokenizer):
     for docs in (hard, small["documents"]):
