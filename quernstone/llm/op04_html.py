@@ -5,8 +5,10 @@ its own, by stop-word density, length and link density, as good, bad, short or
 near-good.  Second pass: short and near-good blocks take the label of their
 nearest decided neighbours.  Blocks within parts that the markup itself names as
 not content (navigation, forms, notices, adverts, comments, scripts, ...) are
-bad from the start.  Where the markup names the article, blocks outside of it
-are bad and a block inside is bad only for its links.
+bad from the start.  Where the markup names the article, that is a prior on the
+first pass: inside, a block that is short or poor in stop words is near-good and
+one with many links is short; outside, a near-good block is short.  Blocks of
+the article inherit from each other, and its edges count as good.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from quernstone.llm.stopwords import ALL_STOP_WORDS
 #: Thresholds of the first pass: link density, lengths in characters, stop-word densities.
 MAX_LINKS, SHORT, LONG = 0.35, 70, 200
 STOP_LOW, STOP_HIGH = 0.20, 0.30
-#: Within a named article a block is bad only if so much of it is links.
+#: Within a named article a block is bad in the first pass only if so much of it is links.
 ARTICLE_LINKS = 0.75
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.DOTALL)
@@ -189,10 +191,17 @@ def _close_implied(stack: list, close, tags: set, stop: set) -> None:
 
 
 def first_pass(text: str, links: float, inside: bool, outside: bool, named: bool) -> str:
-    if outside or (named and not inside):
+    if outside:
         return "bad"
-    if named:
-        return "bad" if links > ARTICLE_LINKS and len(text) < LONG else "good"
+    label = _by_itself(text, links)
+    if inside and label in ("bad", "short"):
+        if links > MAX_LINKS:
+            return "bad" if links > ARTICLE_LINKS and len(text) < LONG else "short"
+        return "near"
+    return "short" if named and not inside and label == "near" else label
+
+
+def _by_itself(text: str, links: float) -> str:
     if links > MAX_LINKS:
         return "bad"
     if len(text) < SHORT:
@@ -206,8 +215,8 @@ def first_pass(text: str, links: float, inside: bool, outside: bool, named: bool
     return "bad"
 
 
-def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
-    """Ambiguous blocks inherit from the nearest decided neighbours; a page's edge counts as bad."""
+def second_pass(labels: list[str], headings: list[bool], edge: str = "bad") -> list[bool]:
+    """Ambiguous blocks inherit from the nearest decided neighbours; a page's edge counts as bad, an article's as good."""
     n = len(labels)
     out = list(labels)
 
@@ -217,7 +226,7 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
             if source[j] in ("good", "bad") or (near and source[j] == "near"):
                 return "good" if source[j] == "near" else source[j]
             j += step
-        return "bad"
+        return edge
 
     for i, label in enumerate(labels):  # headings go with what follows
         if label == "short" and headings[i] and nearest(labels, i, 1, True) == "good":
@@ -247,7 +256,11 @@ def extract_text(page: str | None) -> str:
         return ""
     found, named = blocks(page)
     labels = [first_pass(t, links, inside, outside, named) for t, links, inside, outside, _ in found]
-    keep = second_pass(labels, [h for *_, h in found])
+    heads = [h for *_, h in found]
+    keep = second_pass(labels, heads)
+    own = [i for i, (_, _, inside, outside, _) in enumerate(found) if inside and not outside]
+    for i, good in zip(own, second_pass([labels[i] for i in own], [heads[i] for i in own], "good"), strict=True):
+        keep[i] = good
     return "\n\n".join(f[0] for f, k in zip(found, keep, strict=True) if k)
 
 

@@ -118,6 +118,19 @@ def test_op4_rules_without_article():
     assert o4.extract_text(page) == "\n\n".join([" ".join(para.split()), "Short.", " ".join(para.split())])
 
 
+def test_op4_rules_with_article():
+    """Named articles are a prior: text outside of them can be good, link lists inside of them bad."""
+    para = " ".join(("It is one of the things that we have to do with all of them, and it was not for this or that, but as it is in the end for all who were there at the time. " * 2).split())
+    links = "<ul>" + "".join(f"<li><a href={i}>another page of this kind {i}</a> more</li>" for i in range(3)) + "</ul>"
+    page = f"<body><div class=menu><a href=1>a</a></div><div><p>{para}</p><p>Short.</p><p>{para}</p></div><div>{links}</div><article><a href=2>Teaser of another page</a></article></body>"
+    assert o4.extract_text(page) == "\n\n".join([para, "Short.", para])
+    between = "<p><a href=5>another page of this kind</a></p><p><a href=6>see also this one</a> and more words</p><p><a href=7>and one that is like it</a></p>"
+    assert o4.extract_text(f"<article><p>{para}</p>{between}<p>{para}</p></article>") == "\n\n".join([para, para])
+    # what is poor in stop words stays in an article, next to adverts and with prose elsewhere
+    page = f"<nav>x</nav><article><p>Zyx wvu.</p><div class=ad>buy</div><p>{'Zyx wvu tsr. ' * 30}</p><div class=ad>buy</div><p>Qpo nml.</p></article><footer>f</footer><div><p>{para}</p></div>"
+    assert o4.extract_text(page) == "\n\n".join(["Zyx wvu.", ("Zyx wvu tsr. " * 30).strip(), "Qpo nml.", para])
+
+
 # ---- 5 ------------------------------------------------------------------------------
 def spans_by_hand(text):
     out = []
