@@ -251,3 +251,23 @@ def test_op9_same_as_python(small):
                 if family != o9.UNKNOWN and p >= o9.LEAST_PROBABILITY:
                     want.add((r["doc_id"], k, family))
     assert {(r["doc_id"], r["paragraph"], r["family"]) for r in o9.scan(small["documents"]).collect()} == want
+
+
+def test_op9_without_stems(spark):
+    """Lines that the classifier accepts are found whatever words they hold."""
+    import random
+
+    rng, m = random.Random(4), o9.model()
+    lines = ["This Source Code Form is subject to the terms of the Mozilla Public", "Released under the MIT", "released  UNDER--the (MIT).", "an MIT.", "of the and"]
+    words = sorted({w for ts in o9.TEMPLATES.values() for t in ts for w in t.split()})
+    for ts in o9.TEMPLATES.values():
+        for t in ts:
+            w = t.split()
+            lines += [" ".join(w[i : i + n]) for n in (2, 4, 7) for i in range(len(w) - n + 1)]
+    lines += [" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(500)]
+    accepted = lambda f, p: f != o9.UNKNOWN and p >= o9.LEAST_PROBABILITY
+    want = {(k, m.predict(x)[0]) for k, x in enumerate(lines) if accepted(*m.predict(x))}
+    rows = o9.scan(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()
+    assert {(r["paragraph"], r["family"]) for r in rows} == want
+    assert {(r["paragraph"], r["family"], r["confirmed"]) for r in rows if r["paragraph"] < 2} == {(0, "mpl-2.0", True), (1, "mit", True)}
+    assert sum(not re.search("|".join(o9.STEMS), lines[k], re.I) for k, _ in want) > 20
