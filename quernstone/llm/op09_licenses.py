@@ -1,24 +1,29 @@
 """Licence scan: trained paragraph classifier with template confirmation. [native]
 
-Method.  A paragraph (a line that isn't blank) is a sparse set of word 1- and
-2-grams.  A multinomial logistic regression, trained on paragraphs made from
-notices of each licence family and on paragraphs of an unknown class (ordinary
-words, and licence words out of order), gives family probabilities; its
+Method.  A paragraph is a line, or two or three lines that follow each other (a
+wrapped notice), as a sparse set of word 1- and 2-grams.  A multinomial logistic
+regression, trained on paragraphs made from notices of each licence family and
+on paragraphs of an unknown class (ordinary words, licence words out of order,
+and notices that name another licence), gives family probabilities; its
 temperature is calibrated on paragraphs held out.  A prediction is confirmed by
 comparison with the family's templates: the share of a template's 2-grams that
-the paragraph holds.
+the paragraph holds, each weighted by how few families have it, and the words
+that name the licence, which weigh as much as all the rest.  So what all notices
+say ("licensed under the", "license identifier") confirms nothing.
 
 Training is small and fixed (no corpus) and runs on the driver in numpy; the
 weights enter the plan as constants.  Scoring is built-in expressions in one
-narrow pass.  A paragraph without any of the model's grams is of the unknown
-class, whatever the weights, as the biases alone say so; only those are skipped.
+narrow pass.  Lines without any word of the model can't begin or end a
+paragraph: the biases alone say unknown, so nothing is lost by that.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -44,8 +49,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "isc": ("Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
     "proprietary": ("All rights reserved. Unauthorized copying of this file is strictly prohibited", "Proprietary and confidential. All rights reserved", "This software is proprietary and may not be redistributed without permission"),
 }
-#: What licence lines commonly hold; the scan doesn't ask for it.
-STEMS = ("licen[cs]", "copyright", "permission", "redistribut", "public domain", "all rights reserved", "proprietary", "gpl", "creative commons", "\\bcc0\\b", "\\bcc by")
+#: Words that name a licence.
+NAMES = frozenset("apache mit gnu gpl lgpl agpl lesser affero bsd mozilla mpl cc by sa nc creative commons attribution sharealike noncommercial cc0 isc unlicense".split())
+#: Lines that a wrapped notice may take.
+MOST_LINES = 3
 LEAST_PROBABILITY, LEAST_TEMPLATE = 0.5, 0.6
 EXAMPLES, EPOCHS, L2 = 90, 250, 1e-4
 
@@ -57,31 +64,62 @@ def py_tokens(text: str) -> list[str]:
     return [t.rstrip(".") for t in _PY_TOKEN.findall(text.lower())]
 
 
+_STOP = {w for words in STOP_WORDS.values() for w in words}
+
+
 def py_grams(text: str) -> list[str]:
     t = py_tokens(text)
     return sorted({*t, *(f"{a} {b}" for a, b in zip(t, t[1:], strict=False))})
 
 
+def template_weights() -> dict[str, list[list[tuple[str, float]]]]:
+    """Per family and template: its 2-grams, by the logarithm of how few families have them, and its naming words."""
+    pairs = {f: [[g for g in py_grams(t) if " " in g] for t in ts] for f, ts in TEMPLATES.items()}
+    have = Counter(g for ts in pairs.values() for g in {g for t in ts for g in t})
+    out: dict[str, list[list[tuple[str, float]]]] = {f: [] for f in TEMPLATES}
+    for f, ts in TEMPLATES.items():
+        for text, grams in zip(ts, pairs[f], strict=True):
+            rows = [(g, round(math.log((len(TEMPLATES) + 1) / have[g]), 4)) for g in grams]
+            names = sorted(NAMES & set(py_tokens(text)))
+            out[f].append(rows + [(w, round(sum(x for _, x in rows) / len(names), 4)) for w in names])
+    return out
+
+
+def other_licence(rng: random.Random, notice: str) -> str | None:
+    """A notice with the words that name its licence, and numbers, replaced by invented ones; None if nothing names it."""
+    name = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") + rng.choice(["", "l", "n", "x", "ps"]) for _ in range(rng.randint(1, 3)))
+    if not NAMES & set(py_tokens(notice)):
+        return None
+    number = lambda: f"{rng.randint(1, 4)}.{rng.randint(0, 5)}"
+    swap = lambda w: name() if w.lower() in NAMES else number() if w[:1].isdigit() and rng.random() < 0.5 else w
+    return re.sub(r"[A-Za-z0-9.]+", lambda m: swap(m[0]), notice)
+
+
 def examples(seed: int) -> list[tuple[str, str]]:
     """Labelled paragraphs: notices with edits and company, and paragraphs of the unknown class."""
     rng = random.Random(seed)
     ordinary = [w for words in STOP_WORDS.values() for w in words] + "project library file author work text version release data table note example source code page book".split()
     licence_words = sorted({w for ts in TEMPLATES.values() for t in ts for w in py_tokens(t)})
     filler = lambda n: " ".join(rng.choice(ordinary) for _ in range(n))
+    beside = lambda text, k: (f"{filler(rng.randint(0, 8) if k % 2 else 0)} {text} {filler(rng.randint(0, 8) if k % 3 else 0)}")
     out = []
     for family, notices in TEMPLATES.items():
         for k in range(EXAMPLES):
-            words = notices[k % len(notices)].split()
+            notice = notices[k % len(notices)]
+            words = notice.split()
             if k >= len(notices) and len(words) > 5:
                 words = [w for w in words if rng.random() > 0.06]
-            out.append((family, f"{filler(rng.randint(0, 8) if k % 2 else 0)} {' '.join(words)} {filler(rng.randint(0, 8) if k % 3 else 0)}"))
+            out.append((family, beside(" ".join(words), k)))
+            other = other_licence(rng, notice)
+            if other:
+                out.append((UNKNOWN, beside(other, k)))
     for k in range(EXAMPLES * 8):
         if k % 2:
             out.append((UNKNOWN, filler(rng.randint(3, 40))))
         else:
             words = [rng.choice(licence_words) if rng.random() < 0.35 else rng.choice(ordinary) for _ in range(rng.randint(4, 30))]
             out.append((UNKNOWN, " ".join(words)))
-    for words in ("the license", "a driving licence", "permission to enter", "copyright law", "the license plate of the car", "licensed premises", "with permission of the author", "public domain"):
+    for words in ("the license", "a driving licence", "permission to enter", "copyright law", "the license plate of the car", "licensed premises", "with permission of the author", "public domain", "software license agreement", "general public"):
         out += [(UNKNOWN, f"{filler(rng.randint(0, 6))} {words} {filler(rng.randint(1, 8))}") for _ in range(EXAMPLES // 3)]
     return out
 
@@ -92,8 +130,8 @@ class Model:
     def __init__(self):
         self.classes = [*TEMPLATES, UNKNOWN]
         train, held = examples(1), examples(2)
-        stop = {w for words in STOP_WORDS.values() for w in words}
-        grams = sorted({g for ts in TEMPLATES.values() for t in ts for g in py_grams(t) if g not in stop})
+        # a pair of stop words is no gram, so every gram holds a word that is one
+        grams = sorted({g for ts in TEMPLATES.values() for t in ts for g in py_grams(t) if not set(g.split()) <= _STOP})
         self.number = {g: i for i, g in enumerate(grams)}
         x, y = self.matrix(train)
         w, b = np.zeros((len(grams), len(self.classes))), np.zeros(len(self.classes))
@@ -115,11 +153,9 @@ class Model:
         self.held_out_accuracy = float(((hx @ self.w + self.b).argmax(1) == hy.argmax(1)).mean())
 
     def any_gram(self) -> str:
-        """Regular expression that every lower-case text with a gram of the model matches."""
-        words = {g for g in self.number if " " not in g}
-        pairs = (g.split() for g in self.number if " " in g)
-        wanted = [re.escape(w) for w in sorted(words)] + [rf"{re.escape(a)}[^\p{{L}}\p{{N}}]+{re.escape(b)}" for a, b in sorted(p for p in pairs if not words & set(p))]
-        return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(wanted)})(?![\p{{L}}\p{{N}}])"
+        """Regular expression that every lower-case line with a word of the model matches."""
+        words = sorted({w for g in self.number for w in g.split()} - _STOP)
+        return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, words))})(?![\p{{L}}\p{{N}}])"
 
     @staticmethod
     def softmax(z: np.ndarray) -> np.ndarray:
@@ -141,6 +177,10 @@ class Model:
         p = self.softmax(self.w[at].sum(0) + self.b)
         return self.classes[int(p.argmax())], float(p.max())
 
+    def share(self, text: str, family: str) -> float:
+        held = set(py_grams(text))
+        return max(sum(w for g, w in t if g in held) / max(1e-9, sum(w for _, w in t)) for t in template_weights()[family])
+
 
 _model: list[Model] = []
 
@@ -156,29 +196,50 @@ def let(value: Column, body) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per licence paragraph: id, line number (from 0), family, probability, template share, confirmed.
+    """A row per licence notice: id, first line (from 0), lines, family, probability, template share, confirmed.
 
-    Null and empty texts have no paragraphs; null ids and repeated rows pass
-    through; an empty table gives no rows; other columns are not read.
+    Of notices found within each other the one of fewest lines is given.  Blank
+    lines end a paragraph.  Null and empty texts have no paragraphs; null ids and
+    repeated rows pass through; an empty table gives no rows; other columns are
+    not read.
     """
     m = model()
-    text = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    lines = text.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).filter(F.lower("paragraph").rlike(m.any_gram()))
+    word = m.any_gram()
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).filter(F.lower("text").rlike(word))
+    lines = source.select("doc_id", F.split("text", "\n").alias("lines"))
+    flagged = lines.select("doc_id", "lines", F.transform("lines", lambda x: F.lower(x).rlike(word)).alias("has"))
+    first = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("has", i))
+
+    def windows(i: Column) -> Column:
+        ends = [F.lit(True), *(F.coalesce(F.get("has", i + n - 1), F.lit(False)) for n in range(2, MOST_LINES + 1))]
+        filled = [F.lit(True), *(F.forall(F.slice("lines", i + 2, F.lit(n - 2)), lambda x: x.rlike(r"\S")) if n > 2 else F.lit(True) for n in range(2, MOST_LINES + 1))]
+        every = [F.when(e & f, F.struct(i.alias("line"), F.lit(n).alias("n"), F.concat_ws(" ", F.slice("lines", i + 1, F.lit(n))).alias("paragraph"))) for n, (e, f) in enumerate(zip(ends, filled, strict=True), 1)]
+        return F.filter(F.array(*every), lambda w: w.isNotNull())
 
-    tokens = F.transform(F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({_TOKEN})"), F.lit(1)), lambda t: F.rtrim(t, F.lit(".")))
-    grams = let(tokens, lambda t: F.array_distinct(F.concat(t, F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", t[i - 1], t[i]))).otherwise(F.array().cast("array<string>")))))
     weights = F.from_json(F.lit(json.dumps({g: m.w[i].tolist() for g, i in m.number.items()}, ensure_ascii=False)), "map<string,array<double>>")
     bias = F.array(*[F.lit(float(b)) for b in m.b])
     vocabulary = sorted(m.number)
-    hits = F.filter(F.col("grams"), lambda g: g.isin(vocabulary))
-    logits = F.aggregate(hits, bias, lambda acc, g: F.zip_with(acc, F.coalesce(weights[g], F.array_repeat(F.lit(0.0), len(m.classes))), lambda a, b: a + b))
-    scored = lines.select("doc_id", "line", grams.alias("grams")).select("doc_id", "line", "grams", logits.alias("z"))
-    best = let(F.array_max("z"), lambda top: F.struct((F.array_position(F.col("z"), top) - 1).cast("int").alias("k"), (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("p")))
-    found = scored.select("doc_id", "line", "grams", best.alias("best")).filter((F.col("best.k") < len(TEMPLATES)) & (F.col("best.p") >= LEAST_PROBABILITY))
-    templates = {f: [[g for g in py_grams(t) if " " in g] for t in ts] for f, ts in TEMPLATES.items()}
-    all_templates = F.from_json(F.lit(json.dumps([templates[f] for f in TEMPLATES])), "array<array<array<string>>>")
-    share = F.array_max(F.transform(all_templates[F.col("best.k")], lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.greatest(F.size(t), F.lit(1))))
-    family = F.array(*[F.lit(f) for f in TEMPLATES])[F.col("best.k")]
-    return found.select(
-        "doc_id", F.col("line").cast("long").alias("paragraph"), family.alias("family"), F.round("best.p", 4).alias("probability"), F.round(share, 4).alias("template_share"), (share >= LEAST_TEMPLATE).alias("confirmed")
+    per_family = template_weights()
+    templates = F.from_json(F.lit(json.dumps([[[{"g": g, "w": w} for g, w in t] for t in per_family[f]] for f in TEMPLATES])), "array<array<array<struct<g:string,w:double>>>>")
+    total = lambda pairs: F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"])
+
+    def judged(text: Column) -> Column:
+        """Struct of the best class, its probability and the template share."""
+        tokens = F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"({_TOKEN})"), F.lit(1)), lambda t: F.rtrim(t, F.lit(".")))
+        pairs = lambda t: F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", t[i - 1], t[i]))).otherwise(F.array().cast("array<string>"))
+        # only the model's grams and templates' matter, and all of the latter are among them or pairs of stop words
+        grams = let(tokens, lambda t: F.array_distinct(F.concat(t, pairs(t))))
+        logits = lambda gs: F.aggregate(F.filter(gs, lambda g: g.isin(vocabulary)), bias, lambda acc, g: F.zip_with(acc, weights[g], lambda a, b: a + b))
+        best = lambda z: let(F.array_max(z), lambda top: F.struct((F.array_position(z, top) - 1).cast("int").alias("k"), (1 / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("p")))
+        share = lambda gs, k: F.array_max(F.transform(F.get(templates, k), lambda t: total(F.filter(t, lambda x: F.array_contains(gs, x["g"]))) / F.greatest(total(t), F.lit(1e-9))))
+        return let(grams, lambda gs: let(let(logits(gs), best), lambda b: F.struct(b["k"].alias("k"), b["p"].alias("p"), F.when((b["k"] < len(TEMPLATES)) & (b["p"] >= LEAST_PROBABILITY), share(gs, b["k"])).alias("share"))))
+
+    scored = flagged.select("doc_id", F.transform(F.flatten(F.transform(first, windows)), lambda w: F.struct(w["line"].alias("line"), w["n"].alias("n"), judged(w["paragraph"]).alias("best"))).alias("scored"))
+    found = scored.select("doc_id", F.filter("scored", lambda w: w["best"]["share"].isNotNull()).alias("found"))
+    inside = lambda o, w: (o["n"] < w["n"]) & (o["line"] >= w["line"]) & (o["line"] + o["n"] <= w["line"] + w["n"])
+    rows = found.filter(F.size("found") > 0).select("doc_id", F.explode(F.filter("found", lambda w: ~F.exists("found", lambda o: inside(o, w)))).alias("w"))
+    family = F.get(F.array(*[F.lit(f) for f in TEMPLATES]), F.col("w.best.k"))
+    share = F.col("w.best.share")
+    return rows.select(
+        "doc_id", F.col("w.line").cast("long").alias("paragraph"), F.col("w.n").alias("n_lines"), family.alias("family"), F.round("w.best.p", 4).alias("probability"), F.round(share, 4).alias("template_share"), (share >= LEAST_TEMPLATE).alias("confirmed")
     )
