@@ -63,6 +63,63 @@ def test_op3_blocks_of_items(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in o3.contamination(docs, bench).collect()) == [(i, i) for i in range(7)]
 
 
+def edited(rng, words, rate):
+    out = []
+    for w in words:
+        u = rng.random()
+        out += [f"x{rng.randrange(999)}"] if u < rate * 0.6 else [] if u < rate * 0.8 else [w, f"y{rng.randrange(999)}"] if u < rate else [w]
+    return out
+
+
+@pytest.mark.parametrize("rare_docs", [20, 0])
+def test_op3_like_brute_force_without_seeds(spark, monkeypatch, rare_docs):
+    """Every pair aligned without seeds; with no seed counted as rare, the exact way round must give the same."""
+    monkeypatch.setattr(o3, "RARE_DOCS", rare_docs)
+    rng = random.Random(11)
+    items = [(i, prose(3000 + i, rng.choice([5, 12, 25, 60]))) for i in range(8)]
+    rows = []
+    for i in range(60):
+        w = prose(4000 + i, 120).split()
+        for _ in range(i % 3):
+            at = rng.randrange(len(w))
+            w[at:at] = edited(rng, rng.choice(items)[1].split(), rng.choice([0, 0.1, 0.2]))
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, "same start " + items[0][1] + f" end {i}") for i in range(30)]  # a passage that many copied: all its seeds are common
+    block, want = o3.Items(items), set()
+    for i, text in rows:
+        ids = block.encode(text)
+        for k, t in enumerate(block.texts):
+            score, same, _, _ = o3.align(t, ids)
+            if score >= o3.LEAST_SCORE * o3.MATCH * len(t) and same >= min(o3.LEAST_WORDS, len(t)):
+                want.add((i, items[k][0]))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in o3.contamination(docs, bench).collect()} == want and len(want) > 60
+
+
+def test_op3_recall_by_edits():
+    rng = random.Random(12)
+    items = [(i, prose(6000 + i, 40)) for i in range(50)]
+    block = o3.Items(items)
+    for rate, least in ((0.1, 1.0), (0.2, 0.95), (0.3, 0.9)):
+        texts = [" ".join(prose(7000 + i, 80).split() + edited(rng, t.split(), rate) + prose(8000 + i, 80).split()) for i, t in items]
+        assert sum(i in {m[0] for m in o3.matches(block, t)} for i, t in enumerate(texts)) >= least * len(items), rate
+
+
+def test_op3_bound_is_no_less_than_any_alignment():
+    rng = np.random.default_rng(3)
+    block = o3.Items([(0, "a b c a d e f g h a")])
+    for _ in range(100):
+        passage = rng.integers(-1, len(block.number), rng.integers(1, 60))
+        score, same, _, _ = o3.align(block.texts[0], passage)
+        assert same <= block.bound(0, passage) and score <= o3.MATCH * block.bound(0, passage)
+
+
+def test_op3_other_id_types(spark, hard):
+    docs = spark.createDataFrame([(None, prose(9100, 60)), (b"k", prose(9100, 60)), (b"k", prose(9100, 60))], "doc_id binary, text string")
+    bench = spark.createDataFrame([(None, prose(9100, 60))], "item_id decimal(5,2), text string").union(spark.createDataFrame([(1.5, prose(9100, 60))], "item_id double, text string").selectExpr("cast(item_id as decimal(5,2))", "text"))
+    assert o3.contamination(docs, bench).count() == 6
+
+
 # ---- 6 ------------------------------------------------------------------------------
 def test_op6_exact_and_gapless(hard, small, none):
     for docs in (hard, small["documents"]):
