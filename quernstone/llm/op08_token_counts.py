@@ -2,19 +2,22 @@
 
 Method.  A sequence of tokens is what BPE gives for their bytes exactly if each
 neighbouring pair is (a property of merge-ranked vocabularies).  So the last
-token of each prefix of a piece, and with it the number of tokens, follows from
-the last tokens of shorter prefixes.  That recurrence looks back no further
+token of each prefix of a pre-token, and with it the number of tokens, follows
+from the last tokens of shorter prefixes.  That recurrence looks back no further
 than the longest suffix that begins some token; the suffix together with the
-last tokens and relative counts at its positions is the *state*.  States are
-determinised on demand; each transition is annotated with the number of tokens
-that the count changes by.  Running the transducer over a piece adds up the
-annotations; no token is ever built.
-
-Long texts are cut into chunks at any place.  A chunk's state map is a triple
-(open head, tokens between, open tail): everything between its first and last
-synchronising position is counted, whatever stands around it.  Maps compose
-associatively, and ``scan`` combines them pairwise, level by level, as a
-parallel prefix scan does.
+last tokens and relative counts at its positions is the state of ``Transducer``.
+``Machine`` puts the vocabulary's split pattern before it, as an automaton that
+looks ahead by what its states hold back (white space, apostrophes).  States are
+determinised on demand; each transition, by one character, is annotated with the
+number of tokens that the count changes by.  No token is ever built.
+
+Every text is cut into chunks at any place.  A chunk's state map takes the state
+before it to a count and the state after it.  Past its first synchronising place
+(before a blank that follows something else) nothing depends on the state before
+it, so a map is kept as (open head, tokens after it, state at the end); a chunk
+without such a place is all head.  Maps compose associatively: the head of the
+second is run from the end state of the first.  ``scan`` combines them pairwise,
+level by level, as a parallel prefix scan does.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ from pyspark.sql import DataFrame
 
 from quernstone.llm.units import _CUT, SPECIAL, Units
 
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with more characters are counted chunk by chunk.
-CHUNK = 1 << 18
+#: What the vocabulary's split pattern cuts off after an apostrophe at the beginning of a pre-token.
+SHORT_FORMS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
+#: Characters in a chunk.
+CHUNK = 1 << 12
 #: Determinised states kept per process.
 MAX_STATES = 200_000
 
@@ -91,74 +95,188 @@ class Transducer:
         keep = 0
         while keep < len(seen) and seen[keep:] not in self.prefixes:
             keep += 1
-        key = (seen[keep:], last[keep:] + (token,), tuple(r - delta for r in rel[keep:]) + (0,))
+        key = (seen[keep:], last[keep:] + (token,), tuple([r - delta for r in rel[keep:]]) + (0,))
         nxt = self.states.get(key)
         if nxt is None:
             nxt = self.states[key] = (*key, {})
         moves[byte] = out = (nxt, delta)
         return out
 
-    def count(self, piece: bytes) -> int:
-        if len(self.states) > MAX_STATES:
-            self.reset()
-        state, total, step = self.start, 0, self.step
+    def run(self, state: tuple, piece: bytes) -> tuple:
+        """(state after the bytes, tokens that the count changes by)."""
+        total = 0
         for byte in piece:
-            move = state[3].get(byte) or step(state, byte)
+            state, delta = state[3].get(byte) or self.step(state, byte)
+            total += delta
+        return state, total
+
+    def count(self, piece: bytes) -> int:
+        return self.run(self.start, piece)[1]
+
+
+class State:
+    """A state of the machine: what kind of run it is in, the transducer's state, characters held back, transitions."""
+
+    __slots__ = ("kind", "inner", "held", "moves")
+
+    def __init__(self, kind: str, inner: tuple | None, held: str):
+        self.kind, self.inner, self.held, self.moves = kind, inner, held, {}
+
+
+class Machine:
+    """The split pattern and the transducer as one transducer over characters."""
+
+    def __init__(self, transducer: Transducer):
+        self.inner = transducer
+        self.kinds: dict[str, str] = {}
+        self.reset()
+
+    def reset(self) -> None:
+        self.inner.reset()
+        self.known: dict[tuple, State] = {}
+        self.start = self.state("start", None, "")
+
+    def state(self, kind: str, inner: tuple | None, held: str) -> State:
+        key = (kind, id(inner), held)  # inner states live as long as the machine's that refer to them
+        out = self.known.get(key)
+        if out is None:
+            out = self.known[key] = State(kind, inner, held)
+        return out
+
+    def kind(self, c: str) -> str:
+        out = self.kinds.get(c)
+        if out is None:
+            out = self.kinds[c] = "space" if c in _SPACES else "letter" if _LETTER(c) else "number" if _NUMBER(c) else "other"
+        return out
+
+    def begin(self, kind: str, piece: str) -> tuple[State, int]:
+        """A run of a kind that begins with the characters."""
+        inner, delta = self.inner.run(self.inner.start, _bytes(piece))
+        return self.state(kind, inner, ""), delta
+
+    def fresh(self, c: str) -> tuple[State, int]:
+        """The first character of a pre-token."""
+        kind = self.kind(c)
+        if kind == "space":
+            return self.state("space", None, c), 0
+        if c == "'":
+            return self.state("short", None, c), 0
+        return self.begin(kind, c)
+
+    def grow(self, state: State, c: str) -> tuple[State, int]:
+        """One more character of a run of letters, numbers or others; another kind of character begins a pre-token."""
+        if self.kind(c) != state.kind:
+            return self.fresh(c)
+        inner, delta = self.inner.run(state.inner, _bytes(c))
+        return self.state(state.kind, inner, ""), delta
+
+    def step(self, state: State, c: str) -> tuple[State, int]:
+        """(next state, tokens that the count changes by), built once per state and character."""
+        kind = self.kind(c)
+        if state.kind == "start":
+            out = self.fresh(c)
+        elif state.kind == "space":  # the last blank of a run goes with what follows, any other last one stands alone
+            if kind == "space":
+                inner, delta = self.inner.run(state.inner or self.inner.start, _bytes(state.held))
+                out = self.state("space", inner, c), delta
+            elif state.held == " ":
+                out = self.begin(kind, " " + c)
+            else:
+                nxt, delta = self.fresh(c)
+                out = nxt, delta + self.inner.count(_bytes(state.held))
+        elif state.kind == "short":  # an apostrophe that may begin a short form
+            seen = state.held + c
+            if seen in SHORT_FORMS:
+                out = self.start, self.inner.count(_bytes(seen))
+            elif any(s.startswith(seen) for s in SHORT_FORMS):
+                out = self.state("short", None, seen), 0
+            elif len(seen) == 2 and kind == "other":
+                out = self.begin("other", seen)
+            elif len(seen) == 2:
+                nxt, delta = self.fresh(c)
+                out = nxt, delta + self.inner.count(b"'")
+            else:
+                run, first = self.begin("letter", state.held[1:])
+                nxt, delta = self.grow(run, c)
+                out = nxt, delta + first + self.inner.count(b"'")
+        else:
+            out = self.grow(state, c)
+        state.moves[c] = out
+        return out
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """(state after the text, tokens that the count changes by)."""
+        total, step = 0, self.step
+        for c in text:
+            move = state.moves.get(c) or step(state, c)
             state = move[0]
             total += move[1]
-        return total
+        return state, total
+
+    def final(self, state: State) -> int:
+        """Tokens that the end of the text, or of its last pre-token, adds."""
+        if state.kind == "space":
+            return self.inner.run(state.inner or self.inner.start, _bytes(state.held))[1]
+        if state.kind == "short":
+            return self.inner.count(b"'") + self.inner.count(_bytes(state.held[1:]))
+        return 0
+
+    def count(self, text: str) -> int:
+        """Tokens of a text between two synchronising places."""
+        if len(self.inner.states) > MAX_STATES:
+            self.reset()
+        state, total = self.run(self.start, text)
+        return total + self.final(state)
+
+
+_SPACES = frozenset(c for a, b in [*zip("\t\u2000", "\r\u200a", strict=True)] for c in map(chr, range(ord(a), ord(b) + 1))) | frozenset(" \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000")
+_LETTER, _NUMBER = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 class Counter:
     """Token counts of whole texts."""
 
     def __init__(self, ranks: dict[bytes, int] | None = None):
-        self.transducer = Transducer(ranks or vocabulary())
-        self.split = regex.compile(PATTERN).findall
-        self.units = Units(self.unit)
-
-    def unit(self, text: str) -> int:
-        """Tokens of a text between two synchronising positions."""
-        return sum(self.transducer.count(p.encode("utf-8", "surrogatepass")) for p in self.split(text))
-
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """State map of a chunk: (open head, tokens between or None, open tail)."""
-        cuts = [m.start() for m in _CUT.finditer(chunk)]
-        if not cuts:
-            return chunk, None, ""
-        return chunk[: cuts[0]], sum(self.units.of(chunk[cuts[0] : cuts[-1]])), chunk[cuts[-1] :]
+        self.machine = Machine(Transducer(ranks or vocabulary()))
+        self.units = Units(self.machine.count)
+
+    def chunk_map(self, chunk: str) -> tuple[str, int | None, State | None]:
+        """State map of a chunk: (open head, tokens after it or None, state at the end)."""
+        first = _CUT.search(chunk)
+        if first is None:
+            return chunk, None, None
+        lo, hi = first.start(), chunk.rfind(" ")
+        while chunk[hi - 1] in _SPACES:
+            hi = chunk.rfind(" ", 0, hi)
+        state, tail = self.machine.run(self.machine.start, chunk[hi:])
+        return chunk[:lo], sum(self.units.of(chunk[lo:hi])) + tail, state
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         """Map of two neighbouring chunks from their maps (associative)."""
-        if a[1] is None and b[1] is None:
-            whole = self.chunk_map(a[0] + b[0])  # a cut may lie between the two
-            return whole
         if a[1] is None:
-            x = self.chunk_map(a[0] + b[0])
-            return (a[0] + b[0], b[1], b[2]) if x[1] is None else (x[0], x[1] + self.unit(x[2]) + b[1], b[2])
+            return a[0] + b[0], b[1], b[2]
+        state, tokens = self.machine.run(a[2], b[0])
         if b[1] is None:
-            x = self.chunk_map(a[2] + b[0])
-            return (a[0], a[1], a[2] + b[0]) if x[1] is None else (a[0], a[1] + self.unit(x[0]) + x[1], x[2])
-        return a[0], a[1] + sum(self.units.of(a[2] + b[0])) + b[1], b[2]
+            return a[0], a[1] + tokens, state
+        return a[0], a[1] + tokens + self.machine.final(state) + b[1], b[2]
 
     def scan(self, maps: list[tuple]) -> int:
         """Total of a text from its chunks' maps, combined pairwise, level by level."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, mid, tail = maps[0]
-        return self.unit(head) if mid is None else self.unit(head) + mid + self.unit(tail)
+        head, rest, end = maps[0]
+        total = self.machine.count(head)
+        return total if rest is None else total + rest + self.machine.final(end)
 
     def __call__(self, text: str | None, chunk: int = CHUNK) -> int:
         if not text:
             return 0
         parts = text.split(SPECIAL)
-        total = len(parts) - 1
-        for part in parts:
-            if len(part) <= chunk:
-                total += sum(self.units.of(part))
-            else:
-                total += self.scan([self.chunk_map(part[i : i + chunk]) for i in range(0, len(part), chunk)])
-        return total
+        return len(parts) - 1 + sum(self.scan([self.chunk_map(part[i : i + chunk]) for i in range(0, len(part), chunk)]) for part in parts if part)
 
 
 _counter: dict[str, Counter] = {}

@@ -194,6 +194,40 @@ def test_op5_glued():
                 assert key not in o5.redact_text(text)
 
 
+def test_op5_added_spans_like_brute_force():
+    """Every part of every run scored by itself: the longest from each place, without those inside of others."""
+    import random
+
+    rng, m = random.Random(6), o5.default_model()
+    texts = [f"{rng.choice(['GH_PAT=', 'export K=', 'https://h/', '(', 'x+'])}{rng.choice(o5.labelled(f, 4, 31))}{rng.choice(['', '/x.git', '=', ')', '&b=c'])} and_more-words/of=prose+here" for f in o5.FORMATS for _ in range(3)]
+    for text in texts:
+        want = []
+        for run in o5.RUN.finditer(text):
+            s, found = run.group(), []
+            for family, (a, limit, least) in m.parts.items():
+                for at in range(len(s)):
+                    ends = [e for e in range(at + least, len(s) + 1) if a.bits(s[at:e]) >= limit - 1e-12]
+                    solid = [e for e in ends if s[e - 1] not in ".=-"] or ends
+                    if solid:
+                        found.append((at, -solid[-1], limit - a.bits(s[at : solid[-1]]), family))
+            covered = 0
+            for start, end, _, family in sorted(found):
+                if -end > covered:
+                    covered = -end
+                    want.append((run.start() + start, f"auto_{family}", run.start() + covered))
+        base, more = o5.find_spans(text)
+        want = [w for w in want if not any(b <= w[0] and w[2] <= e for b, _, e in base)]
+        assert [(s, e) for s, _, e in more] == [(s, e) for s, _, e in want], text
+
+
+def test_op5_hard_rows(spark, hard, none):
+    key = "GH_PAT=ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hJ6"
+    rows = [(None, key), (1, key), (1, key), (2, ("z" * 999 + " ") * 500 + key), (3, "x" * 300_000)]
+    got = o5.scan(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS spans", "1 AS n_hex")).collect()
+    assert sorted((str(r["doc_id"]), "auto_github" in r["spans"]) for r in got) == [("1", True), ("1", True), ("2", True), ("3", False), ("None", True)]
+    assert o5.scan(hard).count() == hard.count() and o5.scan(none).count() == 0 and o5.redact(none).count() == 0
+
+
 def test_op5_long_runs_as_short(monkeypatch):
     import random
 
@@ -226,6 +260,33 @@ def test_op8_any_chunks(tokenizer):
         assert [count(s, chunk) for chunk in (1 << 20, 11, 3, 1)] == [want] * 4
 
 
+def test_op8_chunk_maps_compose():
+    """Maps may be combined in any order; the end state of one is the state the next begins in."""
+    import random
+
+    rng, count = random.Random(8), o8.counter("byte_bpe_50k.tiktoken")
+    for _ in range(100):
+        s = "".join(rng.choice([*"ab 'sl1!\n", "  ", "don't", " they're", "'", "'r", " x", "é日"]) for _ in range(rng.randint(1, 40)))
+        maps = [count.chunk_map(s[i : i + 3]) for i in range(0, len(s), 3)]
+        left, right = maps[0], maps[-1]
+        for m in maps[1:]:
+            left = count.compose(left, m)
+        for m in maps[-2::-1]:
+            right = count.compose(m, right)
+        assert count.scan([left]) == count.scan([right]) == count.scan(maps) == count(s)
+
+
+def test_op8_one_path_for_all_lengths(tokenizer, monkeypatch):
+    """Texts of every length are counted by chunk maps; a text without any cut is one open head."""
+    seen = []
+    count = o8.counter("byte_bpe_50k.tiktoken")
+    real = o8.Counter.chunk_map
+    monkeypatch.setattr(o8.Counter, "chunk_map", lambda self, chunk: seen.append(len(chunk)) or real(self, chunk))
+    for s in ("a", "some words of text", "x" * 10_000, "word's " * 3000, " \n" * 5000, "it'll be'r " * 500 + "'"):
+        seen.clear()
+        assert count(s) == len(tokenizer.encode(s, add_special_tokens=False).ids) and len(seen) == -(-len(s) // o8.CHUNK)
+
+
 # ---- 9 ------------------------------------------------------------------------------
 LICENCES = [
     (1, None), (2, ""), (3, "Nothing here.\nLicensed under the Apache License, Version 2.0.\nMore."), (4, "Released under the MIT License."), (5, "the driving licence of my sister\npermission to land was given"),
