@@ -5,9 +5,9 @@ neighbouring pair is (a property of merge-ranked vocabularies).  So the last
 token of each prefix of a pre-token, and with it the number of tokens, follows
 from the last tokens of shorter prefixes.  That recurrence looks back no further
 than the longest suffix that begins some token; the suffix together with the
-last tokens and relative counts at its positions is the state of ``Transducer``.
-``Machine`` puts the vocabulary's split pattern before it, as an automaton that
-looks ahead by what its states hold back (white space, apostrophes).  States are
+last tokens and relative counts at its positions is what a state keeps of a
+pre-token.  The split pattern is part of the same ``Machine``, which looks ahead
+by what its states hold back (white space, apostrophes).  States are
 determinised on demand; each transition, by one character, is annotated with the
 number of tokens that the count changes by.  No token is ever built.
 
@@ -23,6 +23,7 @@ level by level, as a parallel prefix scan does.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -47,29 +48,27 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Transducer:
-    """Counts the BPE tokens of one pre-token, byte by byte."""
+class Vocabulary:
+    """What follows from the ranks alone: the BPE of a few bytes, which tokens may be neighbours, one byte more."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        # a state: (suffix, last token at each of its positions, counts relative to the end, transitions)
-        self.start = (b"", (None,), (0,), {})
-        self.states = {self.start[:3]: self.start}
+        self.single = [bytes((b,)) for b in range(256)]
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Plain BPE of a few bytes, by merging the lowest rank first."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if best[0] == 1 << 60:
-                break
-            i = best[1]
+        parts, get = [self.single[b] for b in piece], self.ranks.get
+        ranks = [get(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (low := min(ranks)) < _NEVER:
+            i = ranks.index(low)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], _NEVER)
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], _NEVER)
         return parts
 
     def valid(self, left: bytes, right: bytes) -> bool:
@@ -79,68 +78,77 @@ class Transducer:
             out = self.pairs[key] = self.merge(left + right) == [left, right]
         return out
 
-    def step(self, state: tuple, byte: int) -> tuple:
-        """(next state, tokens that the count changes by), built once per state and byte."""
-        suffix, last, rel, moves = state
-        seen = suffix + bytes((byte,))
-        token = back = None
-        for k in range(len(seen)):  # longest candidate first; exactly one is valid
-            t = seen[k:]
-            if t in self.ranks and (last[k] is None or self.valid(last[k], t)):
-                token, back = t, rel[k]
+    def extend(self, inner: tuple, byte: int) -> tuple[tuple, int]:
+        """(suffix, last token at each of its positions, counts relative to the end) after one byte more, and what the count changes by."""
+        suffix, last, rel = inner
+        seen = suffix + self.single[byte]
+        ranks, pairs = self.ranks, self.pairs
+        for k, before in enumerate(last):  # longest candidate first; exactly one is valid
+            token = seen[k:]
+            if token in ranks and (before is None or (pairs[before, token] if (before, token) in pairs else self.valid(before, token))):
                 break
-        if token is None:
+        else:
             raise ValueError("a byte is missing from the vocabulary")
-        delta = back + 1  # counts are kept relative to the end of the prefix
-        keep = 0
-        while keep < len(seen) and seen[keep:] not in self.prefixes:
+        delta = rel[k] + 1  # counts are kept relative to the end of the prefix
+        keep, prefixes = 0, self.prefixes
+        while keep < len(seen) and seen[keep:] not in prefixes:
             keep += 1
-        key = (seen[keep:], last[keep:] + (token,), tuple([r - delta for r in rel[keep:]]) + (0,))
-        nxt = self.states.get(key)
-        if nxt is None:
-            nxt = self.states[key] = (*key, {})
-        moves[byte] = out = (nxt, delta)
-        return out
+        return (seen[keep:], (*last[keep:], token), (*[r - delta for r in rel[keep:]], 0)), delta
 
-    def run(self, state: tuple, piece: bytes) -> tuple:
-        """(state after the bytes, tokens that the count changes by)."""
+    def run(self, inner: tuple, piece: bytes) -> tuple[tuple, int]:
         total = 0
         for byte in piece:
-            state, delta = state[3].get(byte) or self.step(state, byte)
+            inner, delta = self.extend(inner, byte)
             total += delta
-        return state, total
+        return inner, total
 
     def count(self, piece: bytes) -> int:
-        return self.run(self.start, piece)[1]
+        return self.run(_EMPTY, piece)[1]
+
+
+_EMPTY = (b"", (None,), (0,))
+_NEVER = 1 << 60
+
+
+class State(dict):
+    """A state of the machine, as the table of its transitions: character -> (next state, tokens that the count changes by).
 
+    ``kind`` is the kind of run it is in, ``inner`` what the vocabulary knows of the
+    run, ``held`` are characters held back.
+    """
 
-class State:
-    """A state of the machine: what kind of run it is in, the transducer's state, characters held back, transitions."""
+    __slots__ = ("machine", "kind", "inner", "held")
 
-    __slots__ = ("kind", "inner", "held", "moves")
+    def __init__(self, machine: Machine, kind: str, inner: tuple, held: str):
+        self.machine, self.kind, self.inner, self.held = machine, kind, inner, held
 
-    def __init__(self, kind: str, inner: tuple | None, held: str):
-        self.kind, self.inner, self.held, self.moves = kind, inner, held, {}
+    def __missing__(self, c: str) -> tuple[State, int]:
+        out = self[c] = self.machine.step(self, c)
+        return out
 
 
 class Machine:
-    """The split pattern and the transducer as one transducer over characters."""
+    """The split pattern and the vocabulary as one transducer over characters."""
 
-    def __init__(self, transducer: Transducer):
-        self.inner = transducer
+    def __init__(self, ranks: dict[bytes, int]):
+        self.inner = Vocabulary(ranks)
         self.kinds: dict[str, str] = {}
+        self.known: dict[tuple, State] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.inner.reset()
-        self.known: dict[tuple, State] = {}
-        self.start = self.state("start", None, "")
-
-    def state(self, kind: str, inner: tuple | None, held: str) -> State:
-        key = (kind, id(inner), held)  # inner states live as long as the machine's that refer to them
+        """Forgets all states; those that are still held elsewhere build their transitions anew."""
+        for state in self.known.values():
+            state.clear()  # they refer to each other
+        self.known.clear()
+        self.inner.pairs.clear()
+        self.start = self.state("start", _EMPTY, "")
+
+    def state(self, kind: str, inner: tuple, held: str) -> State:
+        key = (kind, inner, held)
         out = self.known.get(key)
         if out is None:
-            out = self.known[key] = State(kind, inner, held)
+            out = self.known[key] = State(self, kind, inner, held)
         return out
 
     def kind(self, c: str) -> str:
@@ -151,16 +159,16 @@ class Machine:
 
     def begin(self, kind: str, piece: str) -> tuple[State, int]:
         """A run of a kind that begins with the characters."""
-        inner, delta = self.inner.run(self.inner.start, _bytes(piece))
+        inner, delta = self.inner.run(_EMPTY, _bytes(piece))
         return self.state(kind, inner, ""), delta
 
     def fresh(self, c: str) -> tuple[State, int]:
         """The first character of a pre-token."""
         kind = self.kind(c)
         if kind == "space":
-            return self.state("space", None, c), 0
+            return self.state("space", _EMPTY, c), 0
         if c == "'":
-            return self.state("short", None, c), 0
+            return self.state("short", _EMPTY, c), 0
         return self.begin(kind, c)
 
     def grow(self, state: State, c: str) -> tuple[State, int]:
@@ -174,56 +182,51 @@ class Machine:
         """(next state, tokens that the count changes by), built once per state and character."""
         kind = self.kind(c)
         if state.kind == "start":
-            out = self.fresh(c)
-        elif state.kind == "space":  # the last blank of a run goes with what follows, any other last one stands alone
+            return self.fresh(c)
+        if state.kind == "space":  # the last blank of a run goes with what follows, any other last one stands alone
             if kind == "space":
-                inner, delta = self.inner.run(state.inner or self.inner.start, _bytes(state.held))
-                out = self.state("space", inner, c), delta
-            elif state.held == " ":
-                out = self.begin(kind, " " + c)
-            else:
-                nxt, delta = self.fresh(c)
-                out = nxt, delta + self.inner.count(_bytes(state.held))
-        elif state.kind == "short":  # an apostrophe that may begin a short form
+                inner, delta = self.inner.run(state.inner, _bytes(state.held))
+                return self.state("space", inner, c), delta
+            if state.held == " ":
+                return self.begin(kind, " " + c)
+            after, delta = self.fresh(c)
+            return after, delta + self.inner.count(_bytes(state.held))
+        if state.kind == "short":  # an apostrophe that may begin a short form
             seen = state.held + c
             if seen in SHORT_FORMS:
-                out = self.start, self.inner.count(_bytes(seen))
-            elif any(s.startswith(seen) for s in SHORT_FORMS):
-                out = self.state("short", None, seen), 0
-            elif len(seen) == 2 and kind == "other":
-                out = self.begin("other", seen)
-            elif len(seen) == 2:
-                nxt, delta = self.fresh(c)
-                out = nxt, delta + self.inner.count(b"'")
-            else:
-                run, first = self.begin("letter", state.held[1:])
-                nxt, delta = self.grow(run, c)
-                out = nxt, delta + first + self.inner.count(b"'")
-        else:
-            out = self.grow(state, c)
-        state.moves[c] = out
-        return out
+                return self.start, self.inner.count(_bytes(seen))
+            if any(s.startswith(seen) for s in SHORT_FORMS):
+                return self.state("short", _EMPTY, seen), 0
+            if len(seen) == 2 and kind == "other":
+                return self.begin("other", seen)
+            first = self.inner.count(b"'")
+            if len(seen) == 2:
+                after, delta = self.fresh(c)
+                return after, delta + first
+            run, letters = self.begin("letter", state.held[1:])
+            after, delta = self.grow(run, c)
+            return after, delta + first + letters
+        return self.grow(state, c)
 
     def run(self, state: State, text: str) -> tuple[State, int]:
         """(state after the text, tokens that the count changes by)."""
-        total, step = 0, self.step
+        total = 0
         for c in text:
-            move = state.moves.get(c) or step(state, c)
-            state = move[0]
-            total += move[1]
+            state, delta = state[c]
+            total += delta
         return state, total
 
     def final(self, state: State) -> int:
         """Tokens that the end of the text, or of its last pre-token, adds."""
         if state.kind == "space":
-            return self.inner.run(state.inner or self.inner.start, _bytes(state.held))[1]
+            return self.inner.run(state.inner, _bytes(state.held))[1]
         if state.kind == "short":
             return self.inner.count(b"'") + self.inner.count(_bytes(state.held[1:]))
         return 0
 
     def count(self, text: str) -> int:
         """Tokens of a text between two synchronising places."""
-        if len(self.inner.states) > MAX_STATES:
+        if len(self.known) > MAX_STATES:
             self.reset()
         state, total = self.run(self.start, text)
         return total + self.final(state)
@@ -241,7 +244,7 @@ class Counter:
     """Token counts of whole texts."""
 
     def __init__(self, ranks: dict[bytes, int] | None = None):
-        self.machine = Machine(Transducer(ranks or vocabulary()))
+        self.machine = Machine(ranks or vocabulary())
         self.units = Units(self.machine.count)
 
     def chunk_map(self, chunk: str) -> tuple[str, int | None, State | None]:
@@ -285,6 +288,9 @@ _counter: dict[str, Counter] = {}
 def counter(name: str) -> Counter:
     if name not in _counter:
         _counter[name] = Counter(vocabulary(name))
+        # hundreds of thousands of live states: what lasts isn't looked at by every collection
+        gc.freeze()
+        gc.set_threshold(100_000, 20, 100)
     return _counter[name]
 
 
