@@ -1,15 +1,18 @@
 """Toxicity: character n-gram linear classifier over naive-Bayes log-count ratios.
 
-Method.  A text is the set of its hashed byte n-grams (lower case, n = 3..5,
+Method.  A text is the set of its hashed byte n-grams (lower case, n = 3..7,
 over the whole text), each in two grades: it occurs, and it is dense (it recurs,
 and often for the text's length).  From labelled texts the log-count ratio of
 each graded n-gram between the classes is taken; presences are scaled by these
 ratios and a logistic regression is fitted on them.  The two vectors collapse
 into one weight per graded n-gram, so a score is one sum over the text's.
 
-The training rows are a bounded sample (``MAX_TOXIC`` and ``MAX_CLEAN`` rows, by
-the order of a hash); what the driver receives of a row is its n-gram numbers,
-2 * SIZE of them at most.  Every document is scored in one narrow pass.
+The training rows are a bounded sample: ``MAX_TOXIC`` and ``MAX_CLEAN`` rows by the
+order of a hash, and of each kind only so many that their texts have MAX_CHARS
+characters at most (a row that doesn't fit is left out).  The driver receives the
+n-gram numbers of these rows, packed, and unpacks one row at a time; the fit keeps
+four bytes for each of a row's chosen n-grams.  Every document is scored in one
+narrow pass.
 """
 
 from __future__ import annotations
@@ -21,17 +24,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Size of the hashed feature space, and the n-gram lengths.
-BITS, LENGTHS = 20, (3, 4, 5)
+BITS, LENGTHS = 20, (3, 4, 5, 6, 7)
 SIZE = 1 << BITS
 #: An n-gram is dense with so many places and at least one in so many bytes.
 DENSE_PLACES, DENSE_BYTES = 2, 600
-#: Bounds of the training sample.
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+#: Bounds of the training sample: rows, and characters of either kind.
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 3000, 8_000_000
 #: An n-gram must be in so many training texts, and tell the classes apart so much.
-LEAST_TEXTS, LEAST_RATIO = 12, 1.2
-EPOCHS, L2 = 120, 2e-2
+LEAST_TEXTS, LEAST_RATIO = 8, 1.2
+EPOCHS, L2 = 120, 1e-2
+#: Rows of a step of the fit that are unpacked at once.
+FIT_ROWS = 256
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -111,17 +117,26 @@ def fit(rows: list[np.ndarray] | Encoded, labels: np.ndarray, prior: float) -> W
         return none
     number = np.full(size, -1, np.int32)
     number[use] = np.arange(len(use))
-    picked = [x[x >= 0] for x in (number[r] for r in rows)]
-    which, ends = np.concatenate(picked), np.cumsum([len(x) for x in picked])
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in picked])
-    scaled = r[which]
+    blocks, held = [], []  # (first row, lengths, feature numbers) of FIT_ROWS rows each
+    for k, row in enumerate(rows):
+        x = number[row]
+        held.append(x[x >= 0])
+        if len(held) == FIT_ROWS or k == len(rows) - 1:
+            blocks.append((k + 1 - len(held), np.array([len(x) for x in held]), np.concatenate(held)))
+            held = []
     w, b = np.ones(len(use)) * 0.05, 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for t in range(1, EPOCHS + 1):
-        z = np.bincount(doc, scaled * w[which], len(rows)) + b
-        g = balance * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
-        gw, gb = np.bincount(which, scaled * g[doc], len(use)) + L2 * w, g.sum()
+        value, gw, gb = r * w, np.zeros(len(use)), 0.0
+        for first, sizes, which in blocks:
+            own = slice(first, first + len(sizes))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            z = np.bincount(doc, value[which], len(sizes)) + b
+            g = balance[own] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[own]) / len(y)
+            gw += np.bincount(which, g[doc], len(use))
+            gb += g.sum()
+        gw = r * gw + L2 * w
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         step = 0.02 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         w -= step * m / (np.sqrt(v) + 1e-8)
@@ -153,7 +168,12 @@ def fold(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Weights:
-    """Fits on labelled rows that aren't held out; both passes over the labels are narrow."""
+    """Fits on labelled rows that aren't held out.
+
+    Labels other than 0 and 1, null ids and labels without a document are left
+    out; of an id with labels of both kinds the label 1 counts, of an id with
+    several texts one of them.  Without two classes the score is the bias.
+    """
     usable = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     pick = None
@@ -162,14 +182,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         pick = part if pick is None else pick.unionByName(part)
     # MAX_TOXIC + MAX_CLEAN pairs of numbers at most
     pick = pick.groupBy("doc_id").agg(F.max("y").alias("y"))
-    found = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(pick), "doc_id").select("y", "text")
+    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    sizes = source.select("doc_id", F.length("text").alias("n")).join(F.broadcast(pick), "doc_id").groupBy("doc_id", "y").agg(F.max("n").alias("n"))
+    left, taken = {0: MAX_CHARS, 1: MAX_CHARS}, []
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # a row per picked document
+        if (r["n"] or 0) <= left[r["y"]]:
+            left[r["y"]] -= r["n"] or 0
+            taken.append((r["doc_id"], r["y"]))
+    pick = docs.sparkSession.createDataFrame(taken, T.StructType([T.StructField("doc_id", pick.schema["doc_id"].dataType), T.StructField("y", T.IntegerType())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [encode(ngrams(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["y", "grams"])
+            sets = [encode(ngrams(t.as_py())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["doc_id", "y", "grams"])
 
-    rows = found.mapInArrow(run, "y int, grams binary").collect()
+    id_type = pick.schema["doc_id"].dataType.simpleString()
+    found = source.join(F.broadcast(pick), "doc_id").select("doc_id", "y", "text").mapInArrow(run, f"doc_id {id_type}, y int, grams binary")
+    rows = found.groupBy("doc_id", "y").agg(F.min("grams").alias("grams")).select("y", "grams").collect()  # one text of each id
     rows.sort(key=lambda r: (r["y"], r["grams"]))  # the same order, whatever the partitions
     total = max(1, sum(counts.values()))
     return fit(Encoded([r["grams"] for r in rows]), np.array([r["y"] for r in rows]), counts.get(1, 0) / total)
@@ -200,7 +229,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def filtered(docs: DataFrame, weights: Weights, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that score below one half; one narrow pass."""
+    """The documents, all columns, that score below one half; one narrow pass.
+
+    A null or empty text has the score of the bias, like in ``classify``; ids are
+    not read, repeated rows stay or go alike; an empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
     held = docs.sparkSession.sparkContext.broadcast((weights.at, weights.value, weights.bias))
 
