@@ -55,6 +55,55 @@ def overlaps(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return F.when(s1 == s2, F.lit(True)).when(s1 > s2, s1 < e2).otherwise(s2 < e1)
 
 
+def interval_negate(months: Column, days: Column, us: Column) -> tuple[Column, Column, Column]:
+    """-interval: every part by itself."""
+    return -months, -days, -us
+
+
+def date_at_time(day: Column, us: Column) -> Column:
+    """date + time is a timestamp."""
+    return F.timestamp_micros(F.unix_date(day).cast("long") * F.lit(DAY_US) + us).cast("timestamp_ntz")
+
+
+# ---- time with a zone: struct<us, east>, microseconds of the local day and seconds east of UTC ----
+def timetz(us: Column, east: Column) -> Column:
+    return F.struct(us.cast("long").alias("us"), east.cast("long").alias("east"))
+
+
+def timetz_key(t: Column) -> Column:
+    """Orders times with zones: by the moment, then the one further west first."""
+    return F.struct((t["us"] - t["east"] * 1_000_000).alias("moment"), (-t["east"]).alias("west"))
+
+
+def timetz_add(t: Column, delta_us: Column | int) -> Column:
+    """timetz + interval wraps at local midnight and keeps its zone."""
+    return timetz(time_add(t["us"], delta_us), t["east"])
+
+
+def timetz_at(t: Column, east: Column | int) -> Column:
+    """The same moment in another zone."""
+    east = F.lit(east) if isinstance(east, int) else east
+    return timetz(F.pmod(t["us"] + (east - t["east"]) * 1_000_000, F.lit(DAY_US)), east)
+
+
+def date_at_timetz(day: Column, t: Column) -> Column:
+    """date + timetz is a timestamp with time zone."""
+    return F.timestamp_micros(F.unix_date(day).cast("long") * F.lit(DAY_US) + t["us"] - t["east"] * 1_000_000)
+
+
+def extract_timetz(unit: str, t: Column) -> Column:
+    """EXTRACT from a time with a zone."""
+    parts = {
+        "hour": F.floor(t["us"] / F.lit(3_600_000_000)), "minute": F.floor(F.pmod(t["us"], F.lit(3_600_000_000)) / F.lit(60_000_000)), "timezone": t["east"],
+        "timezone_hour": F.signum(t["east"].cast("double")) * F.floor(F.abs(t["east"]) / 3600), "timezone_minute": F.signum(t["east"].cast("double")) * F.floor(F.pmod(F.abs(t["east"]), F.lit(3600)) / 60),
+    }
+    if unit in parts:
+        return parts[unit].cast("long")
+    us = F.pmod(t["us"], F.lit(60_000_000))
+    more = {"second": us / F.lit(1_000_000.0), "milliseconds": us / F.lit(1000.0), "microseconds": us, "epoch": (t["us"] - t["east"] * 1_000_000) / F.lit(1_000_000.0)}
+    return more[unit]
+
+
 def date_diff_days(a: Column, b: Column) -> Column:
     """date - date is a number of days."""
     return F.datediff(a, b)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quernstone.functions.arith import guard
 
 # ---- JSON -------------------------------------------------------------------
 def json_ref(doc: Column, path: str | int) -> Column:
@@ -14,7 +15,9 @@ def json_ref(doc: Column, path: str | int) -> Column:
             return F.get_json_object(doc, f"$[{path}]")
         items = F.from_json(doc, "array<string>")
         return F.get(items, F.size(items) + path)
-    return F.get_json_object(doc, f"$.{path}")
+    if set(path) & set("'?*\\") or not path:  # what a quoted step of a path can't hold
+        return F.try_element_at(F.from_json(doc, "map<string,string>"), F.lit(path))
+    return F.get_json_object(doc, f"$['{path}']")
 
 
 def json_exists(doc: Column, key: str) -> Column:
@@ -58,11 +61,31 @@ def inet_overlaps(a: Column, b: Column) -> Column:
     return inet_contains(a, b) | inet_contains(b, a)
 
 
+def inet_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: by family, by the bits that both networks have, by prefix length, by address."""
+    both = F.least(a["bits"], b["bits"])
+    x, y = (F.substr(_binary(v["addr"]), F.lit(1), both) for v in (a, b))
+    order = lambda p, q: F.when(p < q, -1).when(p > q, 1)
+    return F.coalesce(order(a["family"], b["family"]), order(x, y), order(a["bits"], b["bits"]), order(a["addr"], b["addr"]), F.lit(0))
+
+
+def macaddr(text: Column) -> Column:
+    """A hardware address in any usual form, as six lower-case pairs with colons; these compare as the addresses do."""
+    digits = F.lower(F.regexp_replace(text, "[^0-9A-Fa-f]", ""))
+    return guard(F.length(digits) == 12, F.concat_ws(":", *[F.substring(digits, 2 * i + 1, 2) for i in range(6)]), "invalid input syntax for type macaddr")
+
+
 def macaddr_trunc(mac: Column) -> Column:
     """Last three bytes set to zero."""
     return F.concat(F.substring(mac, 1, 9), F.lit("00:00:00"))
 
 
+def uuid(text: Column) -> Column:
+    """A UUID in any usual form, as lower-case text with hyphens; these compare as the UUIDs do."""
+    d = F.lower(F.regexp_replace(text, "[^0-9A-Fa-f]", ""))
+    return guard(F.length(d) == 32, F.concat_ws("-", *[F.substring(d, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), "invalid input syntax for type uuid")
+
+
 # ---- boxes (cube): struct<ll, ur> of arrays -------------------------------------
 def cube(ll: Column, ur: Column) -> Column:
     return F.struct(F.zip_with(ll, ur, lambda a, b: F.least(a, b)).alias("ll"), F.zip_with(ll, ur, lambda a, b: F.greatest(a, b)).alias("ur"))
@@ -74,8 +97,19 @@ def cube_contains(a: Column, b: Column) -> Column:
     return lo & hi
 
 
+def cube_contained(a: Column, b: Column) -> Column:
+    return cube_contains(b, a)
+
+
+def cube_key(a: Column, dims: int = 16) -> Column:
+    """Orders cubes as their comparison operators do: lower corners, upper corners (missing coordinates are zero), dimensions."""
+    wide = lambda v: F.concat(v, F.array_repeat(F.lit(0.0), F.lit(dims) - F.size(v)))
+    return F.struct(wide(a["ll"]).alias("ll"), wide(a["ur"]).alias("ur"), F.size(a["ll"]).alias("dims"))
+
+
 def cube_ll_coord(a: Column, n: int) -> Column:
-    return a["ll"][n - 1]
+    """Zero beyond the dimensions of the cube."""
+    return F.coalesce(F.get(a["ll"], F.lit(n - 1)), F.lit(0.0))
 
 
 def cube_distance(a: Column, b: Column) -> Column:

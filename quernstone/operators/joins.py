@@ -70,7 +70,17 @@ def grid_join(points: DataFrame, boxes: DataFrame, x: Column, y: Column, xmin: C
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """Equi-join whose hot keys are spread: the big side draws a salt, the small side is repeated."""
+    """Equi-join whose hot keys are spread: the big side draws a salt, the small side is repeated.
+
+    ``how`` is inner, left, left_semi, left_anti, right or full.  Rows of the
+    repeated side that match nothing come from an anti join of their own, as
+    each of their copies would be unmatched with most salts.
+    """
     a = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     b = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return a.join(b, [*on, "_salt"], how).drop("_salt")
+    kept = {"right": "inner", "right_outer": "inner", "full": "left", "outer": "left", "full_outer": "left"}.get(how, how)
+    joined = a.join(b, [*on, "_salt"], kept).drop("_salt")
+    if kept == how:
+        return joined
+    alone = small.join(big.select(*on).distinct(), on, "left_anti")
+    return joined.unionByName(alone.select(*[alone[n] if n in small.columns else F.lit(None).cast(joined.schema[n].dataType).alias(n) for n in joined.columns]))

@@ -28,13 +28,13 @@ def virtual_column(spark, sf_dir):
     """Keys of the file name as columns; other files aren't opened."""
     folder = scratch(spark)
     li = table(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag", F.year("l_shipdate").alias("y"))
+    li.filter(c("y").between(1996, 1999)).repartition("y").write.partitionBy("y").parquet(f"{folder}/raw")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{folder}/all"))
     for y in (1996, 1997, 1998, 1999):
-        li.filter(c("y") == y).drop("y").coalesce(1).write.parquet(f"{folder}/raw{y}")
-        jvm = spark._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        part = patterns.list_files(spark, f"{folder}/raw{y}", "part-*.parquet")[0]
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{folder}/all"))
-        fs.rename(jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(f"{folder}/all/line_{y}_x.parquet"))
+        for k, part in enumerate(patterns.list_files(spark, f"{folder}/raw/y={y}", "part-*.parquet")):
+            fs.rename(path(part), path(f"{folder}/all/line_{y}_{k}.parquet"))
     df = patterns.read_with_keys(spark, f"{folder}/all", "line_@{y}_${rest}.parquet", {"y": {1997, 1999}})
     return df.groupBy("y", c("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
 
@@ -50,6 +50,67 @@ def arrow_roundtrip(spark, sf_dir):
     return back.filter(c("o_orderkey").between(500, 1500)).groupBy("o_orderstatus", "origin", "absent").agg(F.count("*").alias("n"))
 
 
+def _arrow_orders(spark, sf_dir, **options) -> str:
+    """Orders as Arrow files in key order, 500 rows a batch."""
+    arrow_files.register(spark)
+    folder = scratch(spark)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", c("o_totalprice").cast("decimal(12,2)").alias("o_totalprice"), (c("o_custkey") % 2 == 0).alias("even"))
+    o.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.format("arrow_files").option("path", folder).option("stats", "o_orderkey,o_orderdate,o_totalprice,even").option("batchRows", "500").options(**options).mode("append").save()
+    return folder
+
+
+@P.plan("SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders WHERE (o_orderkey < 300 OR o_orderkey > 1200) AND NOT (o_orderkey BETWEEN 100 AND 200) AND (o_orderkey < 2000 OR o_orderdate IS NULL) GROUP BY o_orderstatus")
+def arrow_or_skipping(spark, sf_dir):
+    """Batches are skipped by AND, OR and NOT over their statistics."""
+    where = ("and", ("or", ("<", "o_orderkey", 300), (">", "o_orderkey", 1200)), ("not", ("and", (">=", "o_orderkey", 100), ("<=", "o_orderkey", 200))), ("or", ("<", "o_orderkey", 2000), ("is_null", "o_orderdate")))
+    rows = arrow_files.load(spark, _arrow_orders(spark, sf_dir), where)
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+
+
+@P.plan("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND CAST(o_totalprice AS DECIMAL(12, 2)) > 250000.5 AND o_custkey % 2 = 0")
+def arrow_typed_skipping(spark, sf_dir):
+    """Statistics of timestamps, decimals and booleans."""
+    rows = spark.read.format("arrow_files").load(_arrow_orders(spark, sf_dir))
+    low = F.lit("1996-01-01").cast("timestamp_ntz")
+    return rows.filter((c("o_orderdate") >= low) & (c("o_totalprice") > F.lit("250000.5").cast("decimal(12,2)")) & c("even")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+
+
+@P.plan("SELECT k.unit AS unit, k.kind AS kind, k.year AS year, count(*) AS n FROM orders, (SELECT 'key' AS unit, 'b' AS kind, 1997 AS year) k GROUP BY ALL")
+def arrow_virtual(spark, sf_dir):
+    """Columns from field metadata (FIELD.KEY) and from the file name; other files are left out by the filter."""
+    folders = [(_arrow_orders(spark, sf_dir, **{"meta.o_orderkey.unit": "key"}), name) for name in ("a_1996", "b_1997")]
+    whole = scratch(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(whole).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(whole))
+    for folder, name in folders:
+        for k, part in enumerate(patterns.list_files(spark, folder, "part-*.arrow")):
+            fs.rename(path(part), path(f"{whole}/{name}_{k}.arrow"))
+    rows = spark.read.format("arrow_files").option("metadata", "o_orderkey.unit").option("pattern", "${kind}_@{year}_*.arrow").option("filename", "file").load(whole)
+    return rows.filter((c("kind") == "b") & (c("year") == 1997) & c("file").startswith("b_")).groupBy(c("`o_orderkey.unit`").alias("unit"), "kind", c("year").cast("int").alias("year")).agg(F.count("*").alias("n"))
+
+
+@P.plan("SELECT CAST(batch AS VARCHAR) AS part, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS batch FROM nation) x GROUP BY batch")
+def arrow_split(spark, sf_dir):
+    """The i-th item of a metadata list belongs to the i-th batch."""
+    arrow_files.register(spark)
+    folder = scratch(spark)
+    n = table(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_nationkey")
+    n.write.format("arrow_files").option("path", folder).option("batchRows", "10").option("meta.part", "0,1,2").mode("append").save()
+    return spark.read.format("arrow_files").option("split", "part").load(folder).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@P.plan("SELECT s_nationkey AS k, count(*) AS n, round(sum(s_acctbal), 2) AS bal, CAST(count(DISTINCT s_suppkey // 100) AS BIGINT) AS files FROM supplier WHERE s_suppkey >= 0 GROUP BY s_nationkey")
+def arrow_flatten(spark, sf_dir):
+    """Structs written as flat columns, compressed buffers."""
+    arrow_files.register(spark)
+    folder = scratch(spark)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.struct("s_nationkey", F.struct("s_acctbal").alias("money")).alias("s"))
+    s.write.format("arrow_files").option("path", folder).option("flatten", "true").option("codec", "zstd").mode("append").save()
+    back = spark.createDataFrame([], "s_suppkey bigint").select("s_suppkey").unionByName(spark.read.format("arrow_files").load(folder), allowMissingColumns=True)
+    return back.groupBy(c("s__s_nationkey").alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("s__money__s_acctbal"), 2).alias("bal"), F.count_distinct(F.floor(c("s_suppkey") / 100)).alias("files"))
+
+
 @P.plan("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def csv_roundtrip(spark, sf_dir):
     folder = scratch(spark)
@@ -94,11 +155,27 @@ def mixed_partitions(spark, sf_dir):
     return both.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@P.plan()
+def _unit_sql(seed: int) -> str:
+    return f"(CAST('0x' || substr(md5(id || ':{seed}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def _int_sql(seed: int, low: int, high: int) -> str:
+    return f"CAST(floor({_unit_sql(seed)} * {high - low + 1}) + {low} AS BIGINT)"
+
+
+@P.plan(
+    f"""SELECT id, CASE WHEN {_unit_sql(7920)} * 100 >= 2 THEN {_int_sql(1, 5, 9)} END AS i, {_unit_sql(2)} * 2 - 1 AS f, DATE '2020-01-01' + CAST(floor({_unit_sql(3)} * 365) AS INT) AS d, 't' || CAST(floor({_unit_sql(4)} * 10) AS BIGINT) AS t,
+'192.168.' || CAST(floor({_unit_sql(6)} * 256) AS INT) || '.' || CAST(floor({_unit_sql(7)} * 256) AS INT) AS a, regexp_replace(substr(md5(id || ':6'), 1, 12), '(..)(..)(..)(..)(..)(..)', '\\1:\\2:\\3:\\4:\\5:\\6') AS m, CAST(floor({_unit_sql(8)} * 86400000000) AS BIGINT) AS us,
+substr(md5(id || ':10:0') || md5(id || ':10:1'), 1, CAST(floor({_unit_sql(10)} * 40) AS INT) + 1) AS x, least({_int_sql(12, 0, 99)}, {_int_sql(13, 0, 99)}) < greatest({_int_sql(12, 0, 99)}, {_int_sql(13, 0, 99)}) AS filled, abs({_int_sql(12, 0, 99)} - {_int_sql(13, 0, 99)}) AS width FROM (SELECT CAST(range AS VARCHAR) AS key, range AS id FROM range(1000)) k""".replace("md5(id", "md5(key")
+)
 def random_columns(spark, sf_dir):
     """Deterministic generators with null percentages."""
     k = c("id")
-    return spark.range(1000).select("id", generators.random_int(k, 1, 5, 9, 2).alias("i"), generators.random_float(k, 2, -1, 1).alias("f"), generators.random_date(k, 3, "2020-01-01", 365).alias("d"), generators.random_text(k, 4, "t", 10).alias("t"), generators.random_inet(k, 5).alias("a"), generators.random_macaddr(k, 6).alias("m"))
+    r = generators.random_range(k, 12, 0, 99)
+    return spark.range(1000).select(
+        "id", generators.random_int(k, 1, 5, 9, 2).alias("i"), generators.random_float(k, 2, -1, 1).alias("f"), generators.random_date(k, 3, "2020-01-01", 365).alias("d"), generators.random_text(k, 4, "t", 10).alias("t"), generators.random_inet(k, 5).alias("a"), generators.random_macaddr(k, 6).alias("m"),
+        generators.random_time(k, 8).alias("us"), generators.random_text_len(k, 10, 40).alias("x"), (~r["empty"]).alias("filled"), F.coalesce(r["upper"] - r["lower"], F.lit(0)).alias("width"),
+    )
 
 
 _LAST = "(SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)"
@@ -134,10 +211,36 @@ def stream_windows(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(c("ts").cast("timestamp").alias("ts"), "event_type")
     ev.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(ev.schema).parquet(f"{folder}/in")
-    name = "w" + uuid.uuid4().hex
-    q = stream_tables.windowed_counts(stream, "ts", "6 hours", by=("event_type",)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{folder}/ck").start()
-    q.awaitTermination()
-    return spark.table(name).select(c("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    counts = stream_tables.windowed_counts(stream, "ts", "6 hours", by=("event_type",))
+    stream_tables.complete_to(counts, f"{folder}/out", f"{folder}/ck").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(c("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+_GAPS = "(SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))"
+
+
+@P.plan(f"SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM {_GAPS} g) x GROUP BY user_id, s")
+def stream_sessions(spark, sf_dir):
+    """Sessions of each user that end after half a day without an event."""
+    folder = scratch(spark)
+    ev = table(spark, sf_dir, "events").select(c("ts").cast("timestamp").alias("ts"), "user_id")
+    ev.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{folder}/in")
+    stream_tables.complete_to(stream_tables.session_counts(stream, "ts", "12 hours", by=("user_id",)), f"{folder}/out", f"{folder}/ck").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("user_id", c("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@P.plan("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS s FROM events WHERE event_id >= 100 GROUP BY event_type")
+def stream_ingest_arrow(spark, sf_dir):
+    """A stream appended to Arrow files with statistics."""
+    arrow_files.register(spark)
+    folder = scratch(spark)
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type")
+    ev.repartitionByRange(2, "event_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream_tables.ingest_arrow(stream, f"{folder}/out", f"{folder}/ck", "event_id").awaitTermination()
+    folders = [f"{folder}/out/{e:010d}" for e in range(2)]
+    return arrow_files.load(spark, ",".join(folders), (">=", "event_id", 100)).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("s"))
 
 
 QUERIES, ORACLES = P.queries, P.oracles

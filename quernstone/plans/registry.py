@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import io, matrix, relational, scalar, star, surface
+from quernstone.plans import io, matrix, relational, scalar, star, surface, types
 
-MODULES = (star, relational, scalar, matrix, io, surface)
+MODULES = (star, relational, scalar, matrix, io, surface, types)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -63,9 +63,13 @@ P.same("casts_numeric", "SELECT o_orderkey, CAST(o_orderkey % 100 AS TINYINT) AS
 P.same("text_to_num", "SELECT n_nationkey, CAST(substring(n_name, 8, 10) AS BIGINT) + 1 AS k, CAST(substring(n_name, 8, 10) AS DOUBLE) / 4 AS d FROM nation")
 
 
-@P.plan()
+_UNIT = "power(2.0, greatest(floor(log2(CASE WHEN abs({x}) > 0 THEN abs({x}) ELSE 1 END)), -14) - 10)"
+_HALF = "CAST(CASE WHEN round_even(abs({x}) / " + _UNIT + ", 0) * " + _UNIT + " >= 65520 THEN 'inf'::DOUBLE ELSE round_even(abs({x}) / " + _UNIT + ", 0) * " + _UNIT + " END AS FLOAT)"
+
+
+@P.plan(f"SELECT l_orderkey, l_linenumber, {_HALF.replace('{x}', 'l_extendedprice')} AS half_price, {_HALF.replace('{x}', 'l_tax')} AS half_tax FROM lineitem")
 def float2_round(spark, sf_dir):
-    """Half-precision rounding (tested against numpy)."""
+    """Half-precision rounding (tested against numpy too)."""
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", arith.float2(c("l_extendedprice")).alias("half_price"), arith.float2(c("l_tax")).alias("half_tax"))
 
 
@@ -81,10 +85,11 @@ P.same("text_multibyte", "SELECT lang, CAST(sum(length(text)) AS BIGINT) AS char
 P.same("text_compare", "SELECT a.n_name AS a, b.n_name AS b, a.n_name < b.n_name AS lt, a.n_name = b.n_name AS eq, a.n_name >= b.n_name AS ge FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 
 
-@P.plan("SELECT p_brand, count(*) AS n FROM part WHERE rtrim(p_brand || '  ') = rtrim(p_brand || '     ') AND (p_type LIKE 'S%' OR p_type LIKE 'P%') AND p_brand LIKE 'B%' AND p_brand LIKE '%#%' GROUP BY p_brand")
+@P.plan("SELECT p_brand, count(*) AS n FROM part WHERE rtrim(p_brand || repeat(' ', p_size % 4)) IN ('Brand#1', 'Brand#3', 'Brand#11', 'Brand#23') AND (p_type LIKE 'S%' OR p_type LIKE 'P%') AND p_brand LIKE 'B%' AND p_brand LIKE '%#%' GROUP BY p_brand")
 def bpchar_like_sets(spark, sf_dir):
     """char(n) comparison, LIKE ANY and LIKE ALL."""
-    same = text.bpchar(F.concat("p_brand", F.lit("  "))) == text.bpchar(F.concat("p_brand", F.lit("     ")))
+    padded = text.bpchar(F.concat(c("p_brand"), F.repeat(F.lit(" "), c("p_size") % 4)))
+    same = padded.isin(*["Brand#1", "Brand#3", "Brand#11", "Brand#23"])
     return table(spark, sf_dir, "part").filter(same & text.like_any(c("p_type"), ["S%", "P%"]) & text.like_all(c("p_brand"), ["B%", "%#%"])).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 

@@ -38,11 +38,31 @@ def write(df: DataFrame, path: str, sep: str = ",", header: bool = True, offset:
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """VCF lines as rows: fixed fields, INFO as a map, samples as an array of text."""
+    """VCF lines as rows: fixed fields, INFO as a map, samples as an array of text.
+
+    A value may hold "="; of an INFO key that comes twice the first one counts;
+    a key without a value is there with null.
+    """
     lines = spark.read.text(path).filter(~F.col("value").startswith("##"))
     cells = F.split("value", "\t")
     rows = lines.filter(~F.col("value").startswith("#"))
     names = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format")
     out = rows.select(*[F.get(cells, i).alias(n) for i, n in enumerate(names)], F.slice(cells, 10, F.greatest(F.size(cells) - 9, F.lit(0))).alias("samples"))
-    pairs = F.transform(F.split("info", ";"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(F.instr(p, "=") > 0, F.substring_index(p, "=", -1)).alias("v")))
-    return out.withColumn("pos", F.col("pos").cast("long")).withColumn("qual", F.when(F.col("qual") != ".", F.col("qual")).cast("double")).withColumn("attributes", F.map_from_entries(pairs))
+    at = lambda p: F.instr(p, "=")
+    pairs = F.transform(F.split("info", ";"), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.when(at(p) > 0, F.substr(p, at(p) + 1, F.length(p))).alias("v")))
+    keys = F.transform(pairs, lambda p: p["k"])
+    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1)
+    return out.withColumn("pos", F.col("pos").cast("long")).withColumn("qual", F.when(F.col("qual") != ".", F.col("qual")).cast("double")).withColumn("attributes", F.map_from_entries(first))
+
+
+def vcf_header(spark: SparkSession, path: str) -> DataFrame:
+    """(file, key, value) of the ## lines of VCF files."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.col("value").startswith("##"))
+    return lines.select("file", F.substring_index(F.substr("value", F.lit(3)), "=", 1).alias("key"), F.substr("value", F.instr("value", "=") + 1).alias("value"))
+
+
+def vcf_samples(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, name) of the samples that VCF files name: ``place`` counts from 0, as in ``samples``."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.col("value").startswith("#CHROM"))
+    names = F.split("value", "\t")
+    return lines.select("file", F.posexplode(F.slice(names, 10, F.greatest(F.size(names) - 9, F.lit(0)))).alias("place", "name"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quernstone.functions import ranges
 
 def _unit(key: Column, seed: int) -> Column:
-    """Uniform in [0, 1) from a hash of the key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """Uniform in [0, 1): the first 52 bits of the MD5 digest of "key:seed", so any engine can give the same."""
+    digits = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 13)
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def _nulls(value: Column, key: Column, seed: int, percent: float) -> Column:
@@ -41,6 +43,35 @@ def random_inet(key: Column, seed: int, network: str = "192.168", null_percent:
     return _nulls(F.concat_ws(".", F.lit(network), part(1), part(2)), key, seed, null_percent)
 
 
+def random_time(key: Column, seed: int, null_percent: float = 0) -> Column:
+    """Microseconds of the day."""
+    return _nulls(F.floor(_unit(key, seed) * 86_400_000_000).cast("long"), key, seed, null_percent)
+
+
+def random_timetz(key: Column, seed: int, null_percent: float = 0) -> Column:
+    """struct<us, east>: a time of the day in a zone of whole hours."""
+    east = (F.floor(_unit(key, seed + 1) * 27) - 12).cast("long") * 3600
+    return _nulls(F.struct(F.floor(_unit(key, seed) * 86_400_000_000).cast("long").alias("us"), east.alias("east")), key, seed, null_percent)
+
+
+def random_text_len(key: Column, seed: int, longest: int, null_percent: float = 0) -> Column:
+    """Hexadecimal digits, 1 to ``longest`` of them."""
+    n = F.floor(_unit(key, seed) * longest).cast("int") + 1
+    digests = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 32).cast("int")), lambda i: F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), i.cast("string")))), "")
+    return _nulls(F.substr(digests, F.lit(1), n), key, seed, null_percent)
+
+
+def random_range(key: Column, seed: int, low: int, high: int, null_percent: float = 0) -> Column:
+    """An integer range [a, b) with low <= a <= b <= high (int4range and int8range)."""
+    a, b = random_int(key, seed, low, high), random_int(key, seed + 1, low, high)
+    return _nulls(ranges.of_ints(F.least(a, b), F.greatest(a, b)), key, seed, null_percent)
+
+
+def random_tsrange(key: Column, seed: int, first: str, seconds: int, null_percent: float = 0) -> Column:
+    a, b = random_timestamp(key, seed, first, seconds), random_timestamp(key, seed + 1, first, seconds)
+    return _nulls(ranges.make(F.least(a, b), F.greatest(a, b)), key, seed, null_percent)
+
+
 def random_macaddr(key: Column, seed: int, null_percent: float = 0) -> Column:
-    h = F.lower(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 16)), 12, "0"))
+    h = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 12)
     return _nulls(F.concat_ws(":", *[F.substring(h, 2 * i + 1, 2) for i in range(6)]), key, seed, null_percent)

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions import arith, dates, nested, text
+from quernstone.functions import arith, dates, geometry, nested, ranges, text
 from quernstone.operators import aggregates, joins
 from quernstone.sources import arrow_files, delimited, patterns
+from quernstone.streaming import tables as stream_tables
 
 
 def one(spark, column):
@@ -102,6 +103,34 @@ def test_arrow_statistics_skip_batches(spark, tmp_path):
     assert any(k == "min_values" for _, _, k, _ in arrow_files.metadata_info(path))
 
 
+def scanned_rows(df):
+    """Rows that the file scan of a plan gives."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif p.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif p.getClass().getSimpleName() == "FileSourceScanExec":
+            found += p.metrics().apply("numOutputRows").value()
+        else:
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_key_range_skips_row_groups(spark, tmp_path):
+    """What the docstrings say: a range on a number skips row groups, one on a zoneless timestamp doesn't."""
+    path = str(tmp_path / "t")
+    rows = spark.range(100_000).select("id", F.timestamp_micros(F.col("id") * 60_000_000).cast("timestamp_ntz").alias("ts"))
+    rows.coalesce(1).write.option("parquet.block.size", 1024).option("parquet.page.row.count.limit", 1000).option("parquet.block.row.count.limit", 1000).parquet(path)
+    t = spark.read.parquet(path)
+    assert scanned_rows(t.filter("id BETWEEN 5000 AND 5999").groupBy().count()) < 20_000
+    ntz = lambda n: F.timestamp_micros(F.lit(n * 60_000_000)).cast("timestamp_ntz")
+    assert scanned_rows(t.filter((F.col("ts") >= ntz(5000)) & (F.col("ts") < ntz(6000))).groupBy().count()) == 100_000
+
+
 def test_flagship_pushes_down(spark, sf_dir):
     from quernstone.plans.star import flagship_revenue
 
@@ -144,3 +173,131 @@ def test_empty_inputs(spark):
     left = spark.createDataFrame([], "k string, t int")
     right = spark.createDataFrame([], "k string, t int, v int")
     assert joins.as_of_join(left, right, "k", "t", "t", "v").count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
+def test_salted_join_like_plain(spark, how):
+    big = spark.createDataFrame([(k % 5, i) for i, k in enumerate(range(40))] + [(None, 99), (77, 98)], "k int, i int")
+    small = spark.createDataFrame([(k, f"s{k}{j}") for k in (0, 1, 1, 9, 10) for j in range(2)] + [(None, "n")], "k int, s string")
+    want = sorted(map(str, big.join(small, ["k"], how).select(*sorted(big.join(small, ["k"], how).columns)).collect()))
+    got = joins.salted_join(big, small, ["k"], 4, how)
+    assert sorted(map(str, got.select(*sorted(got.columns)).collect())) == want
+
+
+def test_json_keys_are_not_paths(spark):
+    doc = F.lit("""{"a.b":1,"a":{"b":2},"x'y":"q","*":5,"":6,"n":null}""")
+    assert [one(spark, nested.json_ref(doc, k)) for k in ("a.b", "a", "x'y", "*", "", "n", "b")] == ["1", '{"b":2}', "q", "5", "6", None, None]
+
+
+def test_vcf_values_and_header(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text("##fileformat=VCFv4.2\n##source=a=b\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\n1\t5\t.\tA\tT\t3.5\tPASS\tX=a=b;DB;X=c;E=\tGT\t0|1\t1|1\n")
+    row = delimited.read_vcf(spark, str(tmp_path)).first()
+    assert row["attributes"] == {"X": "a=b", "DB": None, "E": ""} and row["samples"] == ["0|1", "1|1"] and row["qual"] == 3.5
+    assert sorted((r["key"], r["value"]) for r in delimited.vcf_header(spark, str(tmp_path)).collect()) == [("fileformat", "VCFv4.2"), ("source", "a=b")]
+    assert sorted((r["place"], r["name"]) for r in delimited.vcf_samples(spark, str(tmp_path)).collect()) == [(0, "S1"), (1, "S2")]
+
+
+def test_arrow_statistics_of_all_types(spark, tmp_path):
+    """Dates, timestamps, decimals, booleans and text skip batches; NaN hides a bound; results are as without skipping."""
+    import datetime
+    import decimal
+
+    arrow_files.register(spark)
+    path = str(tmp_path / "a")
+    cols = ["id", "date_add(date'2020-01-01', cast(id as int)) AS d", "cast(timestamp_micros(id * 1000000) as timestamp_ntz) AS t", "cast(id as decimal(10,2)) AS n", "id >= 500 AS b", "lpad(cast(id as string), 4, '0') AS s", "if(id = 950, double('NaN'), id) AS f", "if(id < 900, null, id) AS u"]
+    spark.range(1000).selectExpr(*cols).coalesce(1).write.format("arrow_files").option("path", path).option("stats", "id,d,t,n,b,s,f,u").option("batchRows", "100").mode("append").save()
+    day, moment = datetime.date(2020, 1, 1), datetime.datetime(1970, 1, 1)
+    for where, batches, rows in (
+        ((">", "d", day + datetime.timedelta(799)), [8, 9], 200), (("<", "t", moment + datetime.timedelta(seconds=150)), [0, 1], 150), ((">=", "n", decimal.Decimal("899.5")), [9], 100), (("=", "b", False), [0, 1, 2, 3, 4], 500),
+        (("not", ("=", "b", False)), [5, 6, 7, 8, 9], 500), (("starts", "s", "03"), [3], 100), ((">", "f", 880.0), [8, 9], 119 + 0), (("is_null", "u"), list(range(9)), 900), (("not_null", "u"), [9], 100),
+        (("or", ("<", "id", 50), ("and", (">", "id", 300), ("<", "id", 320)), ("not", ("<", "id", 990))), [0, 3, 9], 79), (("not", ("or", ("<", "id", 900), (">", "u", 950))), [9], 51), (("<>", "b", True), [0, 1, 2, 3, 4], 500),
+    ):
+        assert [p.number for p in arrow_files.ArrowReader(path, None, where=where).partitions()] == batches, where
+        assert arrow_files.load(spark, path, where).count() == rows, where
+    assert spark.read.format("arrow_files").load(path).filter("d > date'2022-03-10' and not b").count() == 0
+    assert len(arrow_files.metadata_stats(path)) == 80
+
+
+def test_arrow_writer_bounds_files(spark, tmp_path):
+    arrow_files.register(spark)
+    path = str(tmp_path / "a")
+    spark.range(50_000).coalesce(1).write.format("arrow_files").option("path", path).option("fileBytes", "100000").option("meta.id.unit", "row").option("meta.who", "me").mode("append").save()
+    assert len(arrow_files.files_of(path)) > 2
+    back = spark.read.format("arrow_files").option("metadata", "id.unit,who,id.none").option("pathname", "path").load(path)
+    assert back.agg(F.count("*"), F.sum("id"), F.count_distinct("path")).first()[:2] == (50_000, 50_000 * 49_999 // 2) and {tuple(r) for r in back.select("`id.unit`", "who", "`id.none`").distinct().collect()} == {("row", "me", None)}
+    assert [p.path for p in arrow_files.ArrowReader(path, None, [("who", "file", "who")], where=("=", "who", "you")).partitions()] == [""]
+
+
+def test_keyed_table_versions(spark, tmp_path):
+    t = stream_tables.KeyedTable(str(tmp_path / "t"), ["k"], "at", fold=3)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, at int, v int, op string")
+    assert t.read(spark) is None and t.info(spark)["version"] is None
+    want = {}
+    for epoch in range(10):
+        t.apply(rows(("a", epoch, epoch, "put"), (f"k{epoch}", epoch, 1, "put"), (f"k{epoch - 2}", epoch, 0, "delete"), ("a", epoch - 5, -1, "put")), epoch)
+        t.apply(rows(("a", 999, 999, "put")), epoch)  # the same epoch again changes nothing
+        want["a"], want[f"k{epoch}"] = epoch, 1
+        want.pop(f"k{epoch - 2}", None)
+        assert {r["k"]: r["v"] for r in t.read(spark).collect()} == want
+    info = t.info(spark)
+    assert info["base"] and info["deltas"] <= 3 and info["versions"] == 2
+    t.truncate(spark)
+    assert t.read(spark).count() == 0
+    t.apply(rows(("z", 1, 5, "put")), 20)
+    assert [(r["k"], r["v"]) for r in t.read(spark).collect()] == [("z", 5)]
+
+
+def test_ranges_like_postgres(spark):
+    i = lambda a, b, s="[)": ranges.of_ints(F.lit(a).cast("int"), F.lit(b).cast("int"), s)
+    num = lambda a, b, s: ranges.make(F.lit(a).cast("double"), F.lit(b).cast("double"), s)
+    got = lambda e: one(spark, e)
+    assert tuple(got(i(1, 5, "[]"))) == (1, 6, True, False, False) and tuple(got(i(3, 3))) == (None, None, False, False, True) and tuple(got(i(3, 4, "()"))) == (None, None, False, False, True)
+    assert tuple(got(i(None, 5, "(]"))) == (None, 6, False, False, False)
+    with pytest.raises(Exception, match="less than or equal"):
+        got(i(5, 1))
+    assert got(ranges.contains_value(num(1, 2, "[]"), F.lit(2.0))) is True and got(ranges.contains_value(num(1, 2, "[)"), F.lit(2.0))) is False
+    assert got(ranges.adjacent(num(1, 2, "[)"), num(2, 3, "[]"))) is True and got(ranges.adjacent(num(1, 2, "[]"), num(2, 3, "[]"))) is False and got(ranges.adjacent(num(1, 2, "()"), num(2, 3, "()"))) is False
+    assert got(ranges.overlaps(num(1, 2, "[]"), num(2, 3, "[]"))) is True and got(ranges.overlaps(num(1, 2, "[)"), num(2, 3, "[]"))) is False
+    assert got(ranges.contains(i(1, 5), i(3, 3))) is True and got(ranges.contains(i(3, 3), i(1, 5))) is False and got(ranges.before(i(1, 3), i(3, 5))) is True
+    assert got(ranges.compare(i(3, 3), i(None, 1))) == -1 and got(ranges.compare(num(1, 2, "[)"), num(1, 2, "(]"))) == -1 and got(ranges.compare(i(1, None), i(1, 9))) == 1
+    assert tuple(got(ranges.difference(i(1, 9), i(5, 20))))[:2] == (1, 5) and tuple(got(ranges.difference(i(1, 9), i(0, 20))))[4] is True
+    with pytest.raises(Exception, match="not be contiguous"):
+        got(ranges.difference(i(1, 9), i(3, 5)))
+    with pytest.raises(Exception, match="not be contiguous"):
+        got(ranges.union(i(1, 3), i(5, 9)))
+    assert tuple(got(ranges.merge(i(1, 3), i(5, None)))) == (1, None, True, False, False) and got(ranges.upper_inf(i(1, None))) is True
+    assert got(ranges.contains_value(i(1, 3), F.lit(None).cast("int"))) is None
+
+
+def test_geometries(spark):
+    at = lambda *ps: [geometry.place(float(x), float(y)) for x, y in ps]
+    ring = lambda a, b: at((a, a), (b, a), (b, b), (a, b), (a, a))
+    box, holed, small = geometry.polygon(ring(0, 10)), geometry.polygon(ring(0, 10), ring(4, 6)), geometry.polygon(ring(1, 3))
+    point = lambda x, y: geometry.st_makepoint(float(x), float(y))
+    road = geometry.line(at((-5, 5), (5, 5), (5, 20)))
+    got = lambda e: one(spark, e)
+    assert [got(geometry.st_contains(g, h)) for g, h in ((box, point(5, 5)), (holed, point(5, 5)), (box, point(0, 5)), (box, small), (holed, small), (small, box), (holed, geometry.polygon(ring(3, 7))), (box, road), (road, point(0, 5)), (road, point(-5, 5)), (box, box))] == [True, False, False, True, True, False, False, False, True, False, True]
+    assert [got(geometry.st_crosses(g, h)) for g, h in ((road, box), (box, road), (road, geometry.line(at((0, 0), (0, 9)))), (road, geometry.line(at((0, 5), (0, 9)))), (road, geometry.line(at((-1, 5), (1, 5)))), (road, geometry.line(at((20, 0), (20, 9)))))] == [True, True, True, False, False, False]
+    assert [got(geometry.st_relate(g, h)) for g, h in ((point(1, 1), point(1, 1)), (point(5, 5), box), (box, point(0, 3)), (point(0, 5), road), (road, point(-5, 5)), (box, geometry.polygon(ring(20, 30))))] == ["0FFFFFFF2", "0FFFFF212", "FF20F1FF2", "0FFFFF102", "FF10F0FF2", "FF2FF1212"]
+    assert [round(got(geometry.st_distance(g, h)), 6) for g, h in ((point(3, 4), point(0, 0)), (box, point(13, 14)), (box, point(5, 5)), (holed, point(5, 5)), (road, geometry.line(at((8, 0), (8, 30)))), (box, geometry.polygon(ring(13, 20))))] == [5.0, 5.0, 0.0, 1.0, 3.0, round(18**0.5, 6)]
+    level, zig = geometry.line(at((0, 0), (10, 0))), geometry.line(at((1, -1), (1, 1), (2, -1)))
+    assert [got(geometry.st_linecrossingdirection(level, b)) for b in (zig, geometry.line(at((1, -1), (1, 1))), geometry.line(at((1, 1), (1, -1))), geometry.line(at((1, -1), (1, 1), (2, -1), (2.5, 1))), road)] == [-3, -1, 1, -2, 0]
+    assert got(geometry.geometry_overlaps(geometry.st_expand(box, 2.0), point(12, 12))) is True and got(geometry.geometry_contains(box, small)) is True and got(geometry.geometry_within(box, small)) is False and got(geometry.st_dwithin(box, point(13, 14), 5.0)) is True
+    assert got(geometry.st_makepoint(1.0, 2.0, 3.0, 4.0))["rings"][0][0].asDict() == {"x": 1.0, "y": 2.0, "z": 3.0, "m": 4.0}
+    with pytest.raises(Exception, match="mixed SRID"):
+        got(geometry.st_contains(geometry.st_setsrid(box, 4326), point(1, 1)))
+
+
+def test_addresses(spark):
+    cmp = lambda a, b: one(spark, nested.inet_compare(nested.inet(F.lit(a)), nested.inet(F.lit(b))))
+    assert [cmp("10.0.0.1", "10.0.0.2"), cmp("10.0.0.0/8", "10.0.0.0/16"), cmp("255.0.0.0", "::1"), cmp("10.0.0.1/8", "10.0.0.0/8"), cmp("1.2.3.4", "1.2.3.4/32")] == [-1, -1, -1, 1, 0]
+    assert one(spark, nested.macaddr(F.lit("08002B:010203"))) == "08:00:2b:01:02:03"
+    for bad in (nested.macaddr(F.lit("08:00")), nested.uuid(F.lit("12"))):
+        with pytest.raises(Exception, match="invalid input syntax"):
+            one(spark, bad)
+
+
+def test_time_zones(spark):
+    t = lambda h, e: dates.timetz(F.lit(h * 3_600_000_000), F.lit(e * 3600))
+    assert one(spark, dates.timetz_key(t(12, 2)) < dates.timetz_key(t(11, 0))) is True and one(spark, dates.timetz_key(t(12, 0)) < dates.timetz_key(t(13, 1))) is False and one(spark, dates.timetz_key(t(13, 1)) < dates.timetz_key(t(12, 0))) is True
+    assert one(spark, dates.timetz_at(t(1, 5), 0))["us"] == 20 * 3_600_000_000 and one(spark, dates.extract_timetz("timezone_hour", t(1, -5))) == -5
