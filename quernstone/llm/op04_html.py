@@ -212,12 +212,14 @@ def _by_itself(text: str, links: float) -> str:
         return "good" if len(text) > LONG else "near"
     if density >= STOP_LOW:
         return "near"
-    return "bad"
+    return "bad" if links > 0 else "short"  # other text without a link: as ambiguous as a short block
 
 
 def second_pass(labels: list[str], headings: list[bool], edge: str = "bad") -> list[bool]:
     """Ambiguous blocks inherit from the nearest decided neighbours; a page's edge counts as bad, an article's as good."""
     n = len(labels)
+    if "good" not in labels:  # a page without any good block has its near-good ones
+        labels = ["good" if x == "near" else x for x in labels]
     out = list(labels)
 
     def nearest(source: list[str], i: int, step: int, near: bool) -> str:
@@ -241,15 +243,10 @@ def second_pass(labels: list[str], headings: list[bool], edge: str = "bad") -> l
                 out[i] = "good" if (nearest(decided, i, -1, True), nearest(decided, i, 1, True)) == ("good", "good") else "bad"
     for i, label in enumerate(decided):
         if label == "near":
-            out[i] = "bad" if nearest(out, i, -1, False) == nearest(out, i, 1, False) == "bad" and not _good_alone(decided, i) else "good"
+            out[i] = "bad" if nearest(out, i, -1, False) == nearest(out, i, 1, False) == "bad" else "good"
     return [x == "good" for x in out]
 
 
-def _good_alone(labels: list[str], i: int) -> bool:
-    """A page without any good block keeps its near-good ones."""
-    return "good" not in labels
-
-
 def extract_text(page: str | None) -> str:
     """The article's blocks in page order, two line feeds between."""
     if not page:

@@ -131,6 +131,25 @@ def test_op4_rules_with_article():
     assert o4.extract_text(page) == "\n\n".join(["Zyx wvu.", ("Zyx wvu tsr. " * 30).strip(), "Qpo nml.", para])
 
 
+def test_op4_without_article_tags(small):
+    """The rules alone, on pages whose article isn't named: precision and recall by block."""
+    import collections
+
+    hit = said = there = 0
+    for r in small["pages"].collect():
+        want = collections.Counter(filter(None, o4.extract_text(r["html"]).split("\n\n")))
+        got = collections.Counter(filter(None, o4.extract_text(re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", r["html"])).split("\n\n")))
+        hit, said, there = hit + sum((want & got).values()), said + sum(got.values()), there + sum(want.values())
+    assert hit / said >= 0.98 and hit / there >= 0.85
+
+
+def test_op4_hard_rows(spark):
+    article = "<article>" + "".join(f"<p>It is one of the things {k} that we have to do with all of them.</p>" for k in range(20_000)) + "</article>"
+    rows = [(None, None, article), (1, "u", article), (1, "u", article), (2, "u", "<" * 3000), (3, "u", "<div>" * 3000 + "deep" + "</div>" * 10), (4, "u", "&#xD800; &bogus; &amp;lt;<p>\x00")]
+    got = o4.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS words")).collect()
+    assert len(got) == 6 and [r["n_chars"] for r in got if r["page_id"] in (None, 1)] == [len(o4.extract_text(article))] * 3 and len(o4.extract_text(article)) > 1_000_000
+
+
 # ---- 5 ------------------------------------------------------------------------------
 def spans_by_hand(text):
     out = []
