@@ -58,21 +58,50 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests in local mode) a temporary folder is set.
+    Where a local session names none (tests) a temporary folder is set; on a
+    cluster that is an error.
     """
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quernstone-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Checkpoint folders of this process, in the order they were made.
+_made: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: cuts lineage, survives lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    where = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if where.isDefined():
+        _made.append(where.get())
+    return out
+
+
+def made() -> int:
+    """A mark for ``forget``."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders that no unread result depends on any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget_since(spark: SparkSession, mark: int) -> None:
+    """Removes the checkpoints made since a mark, once what they were made for is written."""
+    forget(spark, _made[mark:])
+    del _made[mark:]
 
 
 # ---------------------------------------------------------------- word hashes

@@ -352,7 +352,12 @@ def redact_text(text: str | None, model: Model | None = None) -> str | None:
 
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
-    """The same rows and columns; secrets in the text replaced, its length column renewed."""
+    """The same rows and columns; secrets in the text replaced, its length column renewed.
+
+    Null and empty texts, and the lengths of texts without a secret, stay as they
+    are; ids are not read, repeated rows come back as often; an empty table gives
+    no rows.
+    """
     names = docs.columns
     at, size_at = names.index(text_col), names.index(size_col) if size_col in names else None
 

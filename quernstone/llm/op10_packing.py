@@ -192,8 +192,8 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return int(best)
 
 
-def pack_block(sizes: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """(bin, place, kept) per item and whether the block's bin count meets its bound."""
+def pack_block(sizes: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(bin, place, kept) per item, the block's bins and the bound that certifies them where both are equal."""
     where, place, free = best_fit_decreasing(sizes, capacity)
     bound = lower_bound(sizes, capacity)
     if len(free) > bound:
@@ -210,10 +210,10 @@ def pack_block(sizes: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray
             items = np.bincount(where, minlength=len(free))[worst]
             give = (free[worst] > SLACK) & (np.cumsum(items) <= max(len(sizes) // FAN, int(items[0])))
             kept_bin[worst[give]] = False
-    return where, place, kept_bin[where], certified
+    return where, place, kept_bin[where], len(free), bound
 
 
-_OUT = "piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, kept boolean, block bigint, certified boolean"
+_OUT = "piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, level int, block_bins bigint, block_bound bigint, kept boolean, block bigint"
 
 
 def _packer(capacity: int, level: int, last: bool):
@@ -222,16 +222,18 @@ def _packer(capacity: int, level: int, last: bool):
         group = group.sort_by([("length", "descending"), ("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
         sizes = group.column("length").to_numpy()
         block = group.column("block")[0].as_py()
-        where, place, kept, certified = pack_block(sizes, capacity, last)
+        where, place, kept, bins, bound = pack_block(sizes, capacity, last)
         n = len(sizes)
         return pa.table(
             {
                 **{c: group.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")},
                 "sequence_id": pa.array(((block * 16 + level) << 24) + where, pa.int64()),
                 "offset": pa.array(place, pa.int64()),
+                "level": pa.array(np.full(n, level), pa.int32()),
+                "block_bins": pa.array(np.full(n, bins), pa.int64()),
+                "block_bound": pa.array(np.full(n, bound), pa.int64()),
                 "kept": pa.array(kept, pa.bool_()),
                 "block": pa.array(np.full(n, block // FAN), pa.int64()),
-                "certified": pa.array(np.full(n, certified), pa.bool_()),
             }
         )
 
@@ -239,8 +241,10 @@ def _packer(capacity: int, level: int, last: bool):
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """Adds sequence_id and offset to the rows of ``pieces``.
+    """Adds sequence_id and offset to the rows of ``pieces``, and the certificate of the partition that packed them.
 
+    ``level`` is that of the partition, ``block_bins`` and ``block_bound`` are the
+    bins that it needed and the least that any packing of its pieces needs.
     No piece is cut, dropped or given twice.  Repeated rows are packed each on
     their own, null ids are kept, an empty table gives no rows.
     """
@@ -257,7 +261,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataF
         packed = todo.groupBy("block").applyInArrow(_packer(capacity, level, last), schema)
         if not last:
             packed = cut(packed)
-        kept = packed.filter("kept").drop("kept", "block", "certified")
+        kept = packed.filter("kept").drop("kept", "block")
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done

@@ -265,6 +265,13 @@ def test_op10_exchange_levels(small, tokenizer):
     assert check_packing(docs, rows, tokenizer) <= -(-sum(r["length"] for r in rows) // 2048) + 2
 
 
+def test_op10_certificates(small):
+    rows = o10.pack(o10.pieces(small["documents"]), block=25).collect()
+    assert all(r["block_bins"] >= r["block_bound"] >= 1 for r in rows) and any(r["block_bins"] == r["block_bound"] for r in rows)
+    bins = {r["sequence_id"] for r in rows}
+    assert len(bins) >= o10.lower_bound(np.array([r["length"] for r in rows]), 2048) and max(r["level"] for r in rows) >= 1
+
+
 def test_op10_bound_and_bfd():
     rng = np.random.default_rng(0)
     for sizes in (rng.integers(1, 2049, 400), np.full(50, 1100), np.array([1025] * 10 + [1023] * 10), np.full(9, 700), np.array([2048]), rng.integers(600, 760, 100)):
@@ -322,3 +329,72 @@ def test_near_dedup_stage_keeps_rows_without_id(spark):
     rows = [(None, prose(1, 30)), (None, prose(2, 30)), (1, prose(3, 30)), (1, prose(3, 30)), (2, prose(4, 30)), (3, prose(4, 30)), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in p.near_dedup(spark, docs, "").collect()) == ["1", "2", "4", "None", "None"]
+
+
+def test_near_dedup_stage_of_one_id_and_several_texts(spark):
+    """A text that is like no other stays, whatever stands under its id; the same rows stay each time."""
+    import corpus_pipeline as p
+
+    rows = [(1, prose(1, 40), "z"), (5, prose(1, 40), "b"), (5, prose(5, 40), "b"), (5, prose(5, 40), "a"), (6, prose(6, 40), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 4):
+        got = p.near_dedup(spark, docs.repartition(n), "").collect()
+        texts = [r["text"] for r in got]
+        assert sorted(texts) == sorted({prose(k, 40) for k in (1, 5, 6)}) and [r["source"] for r in got if r["text"] == prose(5, 40)] == ["a"]
+
+
+def test_run_removes_what_it_needs_no_more(spark, tmp_path):
+    import os
+
+    import corpus_pipeline as p
+    from quernstone.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    p.run(spark, "/root/testdata/sf0.001").count()
+    new = [x for x in os.listdir(folder) if x not in before]
+    assert [os.listdir(f"{folder}/{x}") for x in new if x.startswith("pipeline-")] == [["secrets"]]
+    assert sum(x.startswith("rdd-") for x in new) <= 3  # of the last stage, whose result isn't read when run() returns
+
+
+def test_op7_large_groups_make_rows_in_proportion(spark, monkeypatch):
+    """A group of near copies that branching can't part: rows of all steps stay in proportion, results are exact."""
+    monkeypatch.setattr(o7, "SMALL", 64)
+    monkeypatch.setattr(o7, "SAMPLE", 32)
+    made, real = [], o7.cut
+
+    def count(df):
+        out = real(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(o7, "cut", count)
+    base = prose(31, 150).split()
+    rows = []
+    for i in range(1200):
+        rng, w = random.Random(i), list(base)
+        for _ in range(1 if i < 900 else 4):  # linked with all others, or with few
+            w[rng.randrange(150)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in o7.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: c for i, (_, c) in components_by_hand(rows).items()}
+    assert max(made) <= 120 * len(rows)
+
+
+def test_op7_splits_leaves_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(o7, "GRAMS", 3000)
+    rows = [(i, copies(5, 400, i % 7)) for i in range(30)] + [(100 + i, prose(i, 300)) for i in range(10)]
+    got = {r["doc_id"]: r["component_id"] for r in o7.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in components_by_hand(rows).items()}
+
+
+def test_op7_all_intersections_at_once():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(20, 60)).astype(np.uint64)) for _ in range(40)]
+    n = np.array([len(s) for s in sets])
+    found = o7.all_linked(*o7.shared_places(sets), n)
+    assert all(bool(found[i, j]) == o7.linked(sets[i], sets[j]) for i in range(40) for j in range(40))
+    pieces = np.array([0, 1, 2, 3, 3, 5])
+    near = np.zeros((6, 6), bool)
+    near[0, 2] = near[2, 0] = near[1, 3] = near[3, 1] = True
+    assert sorted(o7.joined(near, pieces)) == [(2, 0), (3, 1)]
