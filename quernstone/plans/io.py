@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quernstone.plans.base import Plans
 from quernstone.session import table
 from quernstone.sources import arrow_files, delimited, generators, patterns
+from quernstone.sources.parquet_cache import ParquetCache
 from quernstone.streaming import tables as stream_tables
 
 P = Plans()
@@ -230,6 +232,56 @@ def stream_sessions(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("user_id", c("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+@P.plan("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM events GROUP BY ALL")
+def stream_late(spark, sf_dir):
+    """Rows behind the watermark are left out of windows that it has closed."""
+    folder = scratch(spark)
+    ev = table(spark, sf_dir, "events").select(c("ts").cast("timestamp").alias("ts"))
+    end = ev.agg(F.max("ts").alias("ts"))
+    late = ev.agg(F.min("ts").alias("ts")).select(F.explode(F.array_repeat("ts", 50)).alias("ts"))
+    # the events, rows of the first day that come after the last one, and a row that closes all windows
+    for part in (ev.coalesce(1), end.select((c("ts") + F.expr("INTERVAL '3' DAY")).alias("ts")), late, end.select((c("ts") + F.expr("INTERVAL '9' DAY")).alias("ts"))):
+        part.write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    q = stream_tables.windowed_counts(stream, "ts", "1 day").writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = end.select(F.date_trunc("day", "ts").alias("day"))
+    return spark.read.parquet(f"{folder}/out").select(c("window.start").alias("day"), "n").join(F.broadcast(last.withColumnRenamed("day", "end")), c("day") <= c("end")).select(c("day").cast("timestamp_ntz").alias("start"), "n")
+
+
+@P.plan("SELECT user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS s FROM events GROUP BY user_id")
+def stream_state(spark, sf_dir):
+    """A user's own state per key, carried from micro-batch to micro-batch."""
+    folder = scratch(spark)
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id")
+    ev.repartitionByRange(3, "event_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    def add(key, frames, state):
+        n, total = state.get if state.exists else (0, 0)
+        for frame in frames:
+            n, total = n + len(frame), total + int(frame["event_id"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "s": [total]})
+
+    out = stream.groupBy("user_id").applyInPandasWithState(add, "user_id bigint, n bigint, s bigint", "n bigint, s bigint", "update", "NoTimeout")
+    t = stream_tables.KeyedTable(f"{folder}/table", ["user_id"], "n")
+    t.start(out.withColumn("op", F.lit("put")), f"{folder}/ck", "update").awaitTermination()
+    return t.read(spark).select("user_id", "n", "s")
+
+
+@P.plan("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s, 2 AS entries FROM orders GROUP BY o_orderstatus")
+def parquet_cache(spark, sf_dir):
+    """Columns of Parquet files kept on the executors' disks: two queries, one read."""
+    table(spark, sf_dir, "orders")
+    cache = ParquetCache(spark)
+    cache.read(f"{sf_dir}/nation.parquet")
+    for _ in range(2):
+        rows = cache.read(f"{sf_dir}/orders.parquet", ["o_orderstatus", "o_totalprice"])
+        out = rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("s"))
+    return out.withColumn("entries", F.lit(len(cache.info())))
+
+
 @P.plan("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS s FROM events WHERE event_id >= 100 GROUP BY event_type")
 def stream_ingest_arrow(spark, sf_dir):
     """A stream appended to Arrow files with statistics."""

@@ -132,8 +132,8 @@ class KeyedTable:
         files.remove(found[-1])
         self._publish(files, epoch, [name])
 
-    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def start(self, stream: DataFrame, checkpoint: str, mode: str = "append") -> StreamingQuery:
+        return stream.writeStream.outputMode(mode).foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, ts_column: str, tag: str | None = None) -> StreamingQuery:
