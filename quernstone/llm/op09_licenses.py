@@ -153,9 +153,18 @@ class Model:
         self.held_out_accuracy = float(((hx @ self.w + self.b).argmax(1) == hy.argmax(1)).mean())
 
     def any_gram(self) -> str:
-        """Regular expression that every lower-case line with a word of the model matches."""
+        """Regular expression that every lower-case line with a word of the model matches; common beginnings of words are tried once."""
+
+        def tree(words: list[str]) -> str:
+            heads = sorted({w[0] for w in words if w})
+            branches = [re.escape(h) + tree([w[1:] for w in words if w[:1] == h]) for h in heads]
+            if not branches:
+                return ""
+            inner = branches[0] if len(branches) == 1 and "" not in words else f"(?:{'|'.join(branches)})"
+            return f"{inner}?" if "" in words else inner
+
         words = sorted({w for g in self.number for w in g.split()} - _STOP)
-        return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, words))})(?![\p{{L}}\p{{N}}])"
+        return rf"(?<![\p{{L}}\p{{N}}]){tree(words)}(?![\p{{L}}\p{{N}}])"
 
     @staticmethod
     def softmax(z: np.ndarray) -> np.ndarray:
