@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.functions import geometry
+
 #: A side is broadcast only where its measured size is below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -69,6 +71,25 @@ def grid_join(points: DataFrame, boxes: DataFrame, x: Column, y: Column, xmin: C
     return cells.join(wide, ["_cx", "_cy"]).filter((x >= xmin) & (x <= xmax) & (y >= ymin) & (y <= ymax)).drop("_cx", "_cy")
 
 
+def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate: Callable[[Column, Column], Column], size: float) -> DataFrame:
+    """Pairs of geometries of both sides for which a predicate holds that needs their boxes to meet.
+
+    Both sides are repeated for the grid cells that their boxes touch and joined
+    on cells; a pair is looked at only in the cell of the lower left corner of
+    what their boxes share, so it comes once; then the exact predicate decides.
+    """
+
+    def spread(df: DataFrame, geom: str, side: str) -> DataFrame:
+        boxed = df.withColumn(f"_b{side}", geometry.box2df(F.col(geom)))
+        cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(f"_b{side}.{low}") / size), F.floor(F.col(f"_b{side}.{high}") / size)))
+        return boxed.withColumn("_cx", cells("xmin", "xmax")).withColumn("_cy", cells("ymin", "ymax"))
+
+    pairs = spread(left, left_geom, "l").join(spread(right, right_geom, "r"), ["_cx", "_cy"])
+    low = lambda k: F.floor(F.greatest(F.col(f"_bl.{k}"), F.col(f"_br.{k}")) / size)
+    once = geometry.box_overlaps(F.col("_bl"), F.col("_br")) & (F.col("_cx") == low("xmin")) & (F.col("_cy") == low("ymin"))
+    return pairs.filter(once).filter(predicate(F.col(left_geom), F.col(right_geom))).drop("_cx", "_cy", "_bl", "_br")
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join whose hot keys are spread: the big side draws a salt, the small side is repeated.
 

@@ -92,6 +92,25 @@ def arrow_virtual(spark, sf_dir):
     return rows.filter((c("kind") == "b") & (c("year") == 1997) & c("file").startswith("b_")).groupBy(c("`o_orderkey.unit`").alias("unit"), "kind", c("year").cast("int").alias("year")).agg(F.count("*").alias("n"))
 
 
+@P.plan("SELECT n.field AS field, min(o_orderkey) AS lo, max(o_orderkey) AS hi, 0 AS nulls FROM orders, (SELECT 'o_orderkey' AS field) n GROUP BY n.field")
+def arrow_statistics(spark, sf_dir):
+    """Statistics of the footers as a table."""
+    rows = [(field, low, high, nulls) for _, field, _, low, high, nulls in arrow_files.metadata_stats(_arrow_orders(spark, sf_dir)) if field == "o_orderkey"]
+    found = spark.createDataFrame(rows, "field string, lo bigint, hi bigint, nulls int")
+    return found.groupBy("field").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("nulls").cast("int").alias("nulls"))
+
+
+@P.plan("SELECT n_regionkey AS k, n_name AS k_1, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def arrow_import(spark, sf_dir):
+    """A table declared over Arrow files whose column names repeat."""
+    folder, view = scratch(spark), f"imported_{uuid.uuid4().hex[:8]}"
+    n = table(spark, sf_dir, "nation").select(F.struct(c("n_regionkey").alias("k")).alias("a"), F.struct(c("n_name").alias("k")).alias("b"), "n_nationkey")
+    arrow_files.register(spark)
+    n.write.format("arrow_files").option("path", folder).option("flatten", "bare").mode("append").save()
+    arrow_files.import_table(spark, view, folder)
+    return spark.table(view).join(table(spark, sf_dir, "customer"), c("n_nationkey") == c("c_nationkey")).groupBy("k", "k_1").agg(F.count("*").alias("n"))
+
+
 @P.plan("SELECT CAST(batch AS VARCHAR) AS part, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS batch FROM nation) x GROUP BY batch")
 def arrow_split(spark, sf_dir):
     """The i-th item of a metadata list belongs to the i-th batch."""

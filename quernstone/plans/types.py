@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.functions import arith, dates, geometry, nested, ranges
+from quernstone.operators import joins
 from quernstone.plans.base import Plans
 from quernstone.session import table
 
@@ -220,6 +221,32 @@ def geometry_lines(spark, sf_dir):
     return up.select("p_partkey", geometry.st_crosses(c("up"), level).alias("crosses"), geometry.st_linecrossingdirection(level, c("up")).alias("direction"), geometry.st_crosses(c("up"), box).alias("cuts"), geometry.st_contains(box, c("stem")).alias("held"), F.round(geometry.st_distance(c("up"), level), 8).alias("far"))
 
 
+@P.plan(
+    """SELECT s_suppkey, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys FROM (SELECT p_partkey, p_size + 0.25 AS x, p_partkey % 50 + 0.25 AS y FROM part) p JOIN (SELECT s_suppkey, s_suppkey % 40 AS a, s_suppkey * 7 % 40 AS b, 5 + s_suppkey % 6 AS w FROM supplier) s
+ON x > a AND y > b AND x + y - a - b < w GROUP BY s_suppkey"""
+)
+def spatial_join_polygons(spark, sf_dir):
+    """Points in triangles: a grid join of the boxes, then the polygons themselves."""
+    points = table(spark, sf_dir, "part").select("p_partkey", geometry.st_makepoint(c("p_size") + 0.25, c("p_partkey") % 50 + 0.25).alias("g"))
+    a, b, w = c("s_suppkey") % 40, c("s_suppkey") * 7 % 40, c("s_suppkey") % 6 + 5
+    triangle = geometry.polygon([geometry.place(p, q) for p, q in ((a, b), (a + w, b), (a, b + w), (a, b))])
+    shapes = table(spark, sf_dir, "supplier").select("s_suppkey", triangle.alias("t"))
+    return joins.spatial_join(shapes, points, "t", "g", geometry.st_contains, 8.0).groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("p_partkey").cast("long").alias("keys"))
+
+
+_SQUARES = "(SELECT s_suppkey, s_suppkey % 23 * 2.0 AS x, s_suppkey * 7 % 19 * 2.0 AS y, 0.5 + s_suppkey % 3 AS w FROM supplier)"
+
+
+@P.plan(f"SELECT a.s_suppkey AS one, b.s_suppkey AS two FROM {_SQUARES} a JOIN {_SQUARES} b ON a.s_suppkey < b.s_suppkey AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.w AND b.y <= a.y + a.w")
+def spatial_join_shapes(spark, sf_dir):
+    """Shapes that meet shapes: each pair once, whatever cells they share."""
+    x, y, w = c("s_suppkey") % 23 * 2.0, c("s_suppkey") * 7 % 19 * 2.0, c("s_suppkey") % 3 + 0.5
+    square = geometry.polygon([geometry.place(p, q) for p, q in ((x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y))])
+    one = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("one"), square.alias("g"))
+    two = one.select(c("one").alias("two"), c("g").alias("h"))
+    return joins.spatial_join(one, two, "g", "h", geometry.intersects, 4.0).filter("one < two").select("one", "two")
+
+
 # ---- half floats ---------------------------------------------------------------------------------
 def _half(x: str) -> str:
     unit = f"power(2.0, greatest(floor(log2(CASE WHEN abs({x}) > 0 THEN abs({x}) ELSE 1 END)), -14) - 10)"

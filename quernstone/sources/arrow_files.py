@@ -80,6 +80,19 @@ def opened(path: str):
     return pa.memory_map(inner) if isinstance(system, pafs.LocalFileSystem) else system.open_input_file(inner)
 
 
+def unique_names(names: list[str]) -> list[str]:
+    """Column names of which later ones that repeat one get a number: a, a_1, a_2."""
+    out: list[str] = []
+    taken = set(names)
+    for k, name in enumerate(names):
+        if name in names[:k]:
+            n = next(i for i in range(1, len(names) + 1) if f"{name}_{i}" not in taken)
+            name = f"{name}_{n}"
+            taken.add(name)
+        out.append(name)
+    return out
+
+
 # ---- bounds as JSON -------------------------------------------------------------------
 def pack(value):
     """A bound as JSON: numbers, booleans and text as they are, other types named."""
@@ -296,7 +309,7 @@ class ArrowReader(DataSourceReader):
             batch = pa.ipc.open_file(source).get_batch(partition.number)
             for (name, kind, _), value in zip(self.virtual, partition.values, strict=True):
                 batch = batch.append_column(name, pa.array([value] * batch.num_rows, pa.int64() if kind == "number" else pa.string()))
-            yield batch.replace_schema_metadata(None)
+            yield batch.rename_columns(unique_names(batch.schema.names)).replace_schema_metadata(None)
 
 
 # ---- writing ----------------------------------------------------------------------------------
@@ -306,18 +319,18 @@ class Written(WriterCommitMessage):
 
 
 class ArrowWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, stats: list[str], metadata: dict[str, str], batch_rows: int, file_bytes: int = FILE_BYTES, codecs: str = "", flatten: bool = False):
+    def __init__(self, path: str, stats: list[str], metadata: dict[str, str], batch_rows: int, file_bytes: int = FILE_BYTES, codec: str = "", flatten: str = ""):
         self.path, self.stats, self.metadata, self.batch_rows = path, stats, metadata, batch_rows
-        self.file_bytes, self.codec, self.flatten = file_bytes, codecs, flatten
+        self.file_bytes, self.codec, self.flatten = file_bytes, codec, flatten
 
     def flat(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Fields of structs as columns PARENT__CHILD."""
+        """Fields of structs as columns, named PARENT__CHILD, or by their own names (``bare``)."""
         while self.flatten and any(pa.types.is_struct(f.type) for f in batch.schema):
             columns, names = [], []
             for field, column in zip(batch.schema, batch.columns, strict=True):
                 if pa.types.is_struct(field.type):
                     columns += column.flatten()
-                    names += [f"{field.name}__{child.name}" for child in field.type]
+                    names += [child.name if self.flatten == "bare" else f"{field.name}__{child.name}" for child in field.type]
                 else:
                     columns.append(column)
                     names.append(field.name)
@@ -384,7 +397,7 @@ class ArrowFiles(DataSource):
     metadata (keys of files, or FIELD.KEY, as columns), split (keys whose items go to
     the batches), pathname and filename (names of columns), where (see ``load``).
     Write: path, stats (fields), meta.KEY and meta.FIELD.KEY, batchRows, fileBytes,
-    codec (lz4 or zstd), flatten.
+    codec (lz4 or zstd), flatten (true or bare).
     """
 
     @classmethod
@@ -413,7 +426,8 @@ class ArrowFiles(DataSource):
             schema = pa.ipc.open_file(source).schema
         for name, kind, _ in self._virtual():
             schema = schema.append(pa.field(name, pa.int64() if kind == "number" else pa.string()))
-        return from_arrow_schema(schema.remove_metadata())
+        names = unique_names(schema.names)
+        return from_arrow_schema(pa.schema([pa.field(n, f.type, f.nullable) for n, f in zip(names, schema, strict=True)]))
 
     def reader(self, schema):
         where = self.options.get("where")
@@ -421,7 +435,7 @@ class ArrowFiles(DataSource):
 
     def writer(self, schema, overwrite):
         meta = {k[5:]: v for k, v in self.options.items() if k.startswith("meta.")}
-        return ArrowWriter(self.options["path"], self._list("stats"), meta, int(self.options.get("batchrows", "65536")), int(self.options.get("filebytes", str(FILE_BYTES))), self.options.get("codec", ""), self.options.get("flatten", "") == "true")
+        return ArrowWriter(self.options["path"], self._list("stats"), meta, int(self.options.get("batchrows", "65536")), int(self.options.get("filebytes", str(FILE_BYTES))), self.options.get("codec", ""), {"true": "names", "bare": "bare"}.get(self.options.get("flatten", ""), ""))
 
 
 def register(spark) -> None:
@@ -434,6 +448,12 @@ def register(spark) -> None:
     spark.dataSource.register(ArrowFiles)
 
 
+def import_table(spark, view: str, path: str, **options) -> None:
+    """Declares a temporary view over Arrow files: its columns come from the files, repeated names get a number."""
+    register(spark)
+    spark.read.format("arrow_files").options(**options).load(path).createOrReplaceTempView(view)
+
+
 def metadata_info(path: str) -> list[tuple[str, str | None, str, str]]:
     """(file, field or None, key, value) of all custom metadata in the footers."""
 

@@ -37,6 +37,21 @@ def write(df: DataFrame, path: str, sep: str = ",", header: bool = True, offset:
     df.write.mode("overwrite").csv(path, sep=sep, header=header)
 
 
+def create_table(schema: T.StructType, name: str) -> str:
+    """CREATE TABLE text for a schema, with quoted names and PostgreSQL's type names."""
+    back = {"tinyint": "smallint", "smallint": "smallint", "int": "integer", "bigint": "bigint", "float": "real", "double": "double precision", "string": "text", "boolean": "boolean", "date": "date", "timestamp": "timestamptz", "timestamp_ntz": "timestamp", "binary": "bytea"}
+    quote = lambda n: '"' + n.replace('"', '""') + '"'
+
+    def kind(t: T.DataType) -> str:
+        if isinstance(t, T.ArrayType):
+            return f"{kind(t.elementType)}[]"
+        if isinstance(t, T.DecimalType):
+            return f"numeric({t.precision},{t.scale})"
+        return back.get(t.simpleString(), "jsonb")
+
+    return f"CREATE TABLE {quote(name)} (" + ", ".join(f"{quote(f.name)} {kind(f.dataType)}{'' if f.nullable else ' NOT NULL'}" for f in schema) + ")"
+
+
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """VCF lines as rows: fixed fields, INFO as a map, samples as an array of text.
 

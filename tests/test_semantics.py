@@ -301,3 +301,25 @@ def test_time_zones(spark):
     t = lambda h, e: dates.timetz(F.lit(h * 3_600_000_000), F.lit(e * 3600))
     assert one(spark, dates.timetz_key(t(12, 2)) < dates.timetz_key(t(11, 0))) is True and one(spark, dates.timetz_key(t(12, 0)) < dates.timetz_key(t(13, 1))) is False and one(spark, dates.timetz_key(t(13, 1)) < dates.timetz_key(t(12, 0))) is True
     assert one(spark, dates.timetz_at(t(1, 5), 0))["us"] == 20 * 3_600_000_000 and one(spark, dates.extract_timetz("timezone_hour", t(1, -5))) == -5
+
+
+def test_create_table_text():
+    from pyspark.sql import types as T
+
+    schema = T.StructType.fromDDL('`a"b` int NOT NULL, n decimal(9,2), t timestamp_ntz, x array<string>, s struct<k:int>')
+    assert delimited.create_table(schema, "t 1") == 'CREATE TABLE "t 1" ("a""b" integer NOT NULL, "n" numeric(9,2), "t" timestamp, "x" text[], "s" jsonb)'
+    assert arrow_files.unique_names(["a", "b", "a", "a_1", "a"]) == ["a", "b", "a_2", "a_1", "a_3"]
+
+
+def test_parquet_cache_sees_changed_files(spark, tmp_path):
+    from quernstone.sources.parquet_cache import ParquetCache
+
+    path = str(tmp_path / "p")
+    cache = ParquetCache(spark, limit_bytes=10_000_000)
+    spark.range(10).selectExpr("id", "id * 2 AS x").write.parquet(path)
+    assert cache.read(path, ["x"]).count() == 10 and cache.read(path, ["x"]) is cache.read(path, ["x"]) and len(cache.info()) == 1
+    spark.range(5).selectExpr("id", "id * 2 AS x").write.mode("append").parquet(path)
+    assert cache.read(path, ["x"]).count() == 15 and len(cache.info()) == 1
+    cache.limit = 1
+    cache.read(path)
+    assert [i[1] for i in cache.info()] == ["*"]
