@@ -135,6 +135,26 @@ def test_op6_exact_and_gapless(hard, small, none):
     assert o6.digest(none).count() == 0
 
 
+@pytest.mark.parametrize("groups", [4096, 3])
+def test_op6_more_partitions_than_groups(spark, monkeypatch, groups):
+    monkeypatch.setattr(o6, "GROUPS", groups)
+    docs = spark.range(0, 1000, 1, 11).withColumn("text", F.col("id").cast("string")).filter("id < 700 or id > 800")
+    rows = o6.shuffle_into_shards(docs, 8, 5).collect()
+    assert sorted(r["id"] for r in rows) == [*range(700), *range(801, 1000)]
+    sizes = collections.Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    for s in range(8):
+        own = [r for r in rows if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        assert [r["id"] for r in sorted(own, key=lambda r: r["slot"])] != sorted(r["id"] for r in own)  # permuted again
+
+
+def test_op6_deals_each_partition_at_random(spark):
+    """A partition's rows go to shards in no order of their places."""
+    first = collections.Counter(r["shard"] for s in range(60) for r in o6.shuffle_into_shards(spark.range(0, 40, 1, 2), 2, s).filter("id = 0").collect())
+    assert min(first.values()) >= 15
+
+
 def test_op6_keeps_columns(hard):
     out = o6.shuffle_into_shards(hard, 3)
     assert set(out.columns) == set(hard.columns) | {"slot"} and out.count() == hard.count()
