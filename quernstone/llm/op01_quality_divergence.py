@@ -7,7 +7,8 @@ references; they are taken three times, without the documents that stood too
 far from the last ones, so that junk doesn't shape them.  A document is rejected if its Jensen-Shannon distance (base 2,
 0..1) from a reference exceeds a limit, for histograms that hold enough: short
 texts are guarded by a minimum length and by an allowance for sampling noise.
-A document in none of the known languages is held against the nearest.
+A document in none of the known languages, or in one with too few words for a
+reference, is held against the nearest.
 
 Everything is built-in expressions.  Words are split once per row and bound to
 a lambda variable; no row is exploded but to add up the references, which is
@@ -27,6 +28,8 @@ from quernstone.llm.stopwords import ALL_STOP_WORDS, STOP_WORDS
 
 #: A histogram counts only from so many entries on.
 MIN_CHARS, MIN_WORDS = 200, 40
+#: A language's reference is one only from so many words on; documents of others are held against the nearest.
+MIN_REFERENCE = 2000
 #: Greatest distance, and the allowance c / sqrt(entries).
 CHAR_LIMIT, WORD_LIMIT = 0.16, 0.30
 CHAR_NOISE, WORD_NOISE = 0.8, 1.2
@@ -114,6 +117,8 @@ def references(rows: DataFrame) -> dict[str, dict]:
     words = known.select("lang", F.explode("common").alias("x")).groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.n").alias("n"))
     out = {}
     for row in sums.collect():  # a row per known language
+        if row["n_words"] < MIN_REFERENCE:
+            continue
         chars = [row[f"c{i}"] for i in range(len(CLASSES))]
         out[row["lang"]] = {"chars": [c / max(1, sum(chars)) for c in chars], "n_words": row["n_words"], "words": {}}
     for row in words.collect():  # known languages x listed words at most

@@ -25,7 +25,7 @@ def op1() -> str:
         total = " + ".join(f"sum(c{i})" for i in range(n))
         char_nats = " + ".join(half(f"(f.c{i} / greatest(f.word_chars, 1))", f"r.q{i}") for i in range(n))
         rounds.append(f"""
-ref{k} AS MATERIALIZED (SELECT lang, sum(n_words) AS nw, {", ".join(f"sum(c{i}) / greatest(1, {total}) AS q{i}" for i in range(n))} FROM f WHERE {known} GROUP BY lang),
+ref{k} AS MATERIALIZED (SELECT lang, sum(n_words) AS nw, {", ".join(f"sum(c{i}) / greatest(1, {total}) AS q{i}" for i in range(n))} FROM f WHERE {known} GROUP BY lang HAVING sum(n_words) >= {o1.MIN_REFERENCE}),
 share{k} AS MATERIALIZED (SELECT f.lang, c.w, sum(c.n) / greatest(1, any_value(r.nw)) AS q FROM f JOIN common c USING (doc_id) JOIN listed l ON l.lang = f.lang AND l.w = c.w JOIN ref{k} r ON r.lang = f.lang
  WHERE f.{known} GROUP BY f.lang, c.w),
 every{k} AS (SELECT lang, sum(q) AS q FROM share{k} GROUP BY lang),

@@ -33,6 +33,19 @@ def test_op1_verdicts(small, none):
     assert o1.quality(none).count() == 0
 
 
+def test_op1_needs_a_reference(spark):
+    """A language with few words has no reference of its own: its junk is held against the nearest."""
+    import random
+
+    words = "the house of the old man was on the hill and we have seen it from the road that is by the river, as it was in the time of our fathers.".split()
+    good = lambda k: " ".join(random.Random(k).choices(words, k=90))
+    rows = [(i, good(i), "en") for i in range(60)] + [(100, " ".join(f"zx{k}q#kv" for k in range(150)), "de"), (101, good(101), "xx"), (102, good(102), None), (None, good(103), "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in o1.quality(docs).collect()}
+    assert got[100] == (False, False) and all(got[i] == (False, True) for i in (0, 59, 101, 102, None))
+    assert o1.quality(docs.filter("lang = 'de'")).filter("kept").count() == 2  # without any reference only the base rules decide
+
+
 # ---- 2 ------------------------------------------------------------------------------
 def test_op2_held_out(small, hard, none):
     docs, labels = small["documents"], small["labels"]
