@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -66,6 +67,7 @@ def blocks(page: str) -> tuple[list[tuple[str, float, bool, bool, bool]], bool]:
     """[(text, link density, in the article, in a part that is no content, heading)] and whether an article is named."""
     found: list[tuple[str, float, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, names the article, is no content
+    open_tags: Counter[str] = Counter()
     block = Block(False, False, False)
     main = out = links = heads = 0
     named = False
@@ -87,6 +89,7 @@ def blocks(page: str) -> tuple[list[tuple[str, float, bool, bool, bool]], bool]:
     def close(tag: str) -> None:
         nonlocal main, out, links, heads
         t, m, o = stack.pop()
+        open_tags[t] -= 1
         main -= m
         out -= o
         links -= t == "a"
@@ -112,14 +115,13 @@ def blocks(page: str) -> tuple[list[tuple[str, float, bool, bool, bool]], bool]:
         if m[1] or m[4]:
             if tag in _BLOCK:
                 flush()
-            if tag == "p" or tag == "br":
-                pass
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if open_tags[tag] else None
             if depth is not None and not (tag in ("a", "b", "i", "em", "strong", "span", "font", "u") and any(s[0] in _BLOCK for s in stack[depth + 1 :])):
                 while len(stack) > depth:
                     close(tag)
             elif depth is not None:  # a formatting element that blocks were opened in: only itself ends
                 t, was_main, was_out = stack.pop(depth)
+                open_tags[t] -= 1
                 main, out, links = main - was_main, out - was_out, links - (t == "a")
             if tag in _BLOCK:
                 block = Block(main > 0, out > 0, heads > 0)
@@ -149,7 +151,7 @@ def blocks(page: str) -> tuple[list[tuple[str, float, bool, bool, bool]], bool]:
                 _close_implied(stack, close, {"tr"}, {"table"})
             elif tag in ("dd", "dt"):
                 _close_implied(stack, close, {"dd", "dt"}, {"dl"})
-            if stack and any(s[0] == "p" for s in stack):
+            if open_tags["p"]:
                 _close_implied(stack, close, {"p"}, {"button", "table", "td", "th", "article", "section", "div", "li"})
         if (source or "").rstrip().endswith("/") and tag not in _BLOCK:
             continue
@@ -166,6 +168,7 @@ def blocks(page: str) -> tuple[list[tuple[str, float, bool, bool, bool]], bool]:
             is_main = False
         named = named or is_main
         stack.append((tag, is_main, is_out))
+        open_tags[tag] += 1
         main += is_main
         out += is_out
         links += tag == "a"
@@ -215,35 +218,37 @@ def _by_itself(text: str, links: float) -> str:
     return "bad" if links > 0 else "short"  # other text without a link: as ambiguous as a short block
 
 
+def _nearest(labels: list[str], near: bool, edge: str, back: bool) -> list[str]:
+    """For every block: the nearest decided label behind (or ahead), near-good ones counted as good if ``near``."""
+    out, last = [], edge
+    for label in labels if back else reversed(labels):
+        out.append(last)
+        if label in ("good", "bad") or (near and label == "near"):
+            last = "bad" if label == "bad" else "good"
+    return out if back else out[::-1]
+
+
 def second_pass(labels: list[str], headings: list[bool], edge: str = "bad") -> list[bool]:
     """Ambiguous blocks inherit from the nearest decided neighbours; a page's edge counts as bad, an article's as good."""
-    n = len(labels)
     if "good" not in labels:  # a page without any good block has its near-good ones
         labels = ["good" if x == "near" else x for x in labels]
-    out = list(labels)
-
-    def nearest(source: list[str], i: int, step: int, near: bool) -> str:
-        j = i + step
-        while 0 <= j < n:
-            if source[j] in ("good", "bad") or (near and source[j] == "near"):
-                return "good" if source[j] == "near" else source[j]
-            j += step
-        return edge
-
-    for i, label in enumerate(labels):  # headings go with what follows
-        if label == "short" and headings[i] and nearest(labels, i, 1, True) == "good":
-            out[i] = "near"
-    decided = list(out)
+    # headings go with what follows
+    ahead = _nearest(labels, True, edge, False)
+    decided = ["near" if x == "short" and h and a == "good" else x for x, h, a in zip(labels, headings, ahead, strict=True)]
+    before, after = _nearest(decided, False, edge, True), _nearest(decided, False, edge, False)
+    loose_before, loose_after = _nearest(decided, True, edge, True), _nearest(decided, True, edge, False)
+    out = list(decided)
     for i, label in enumerate(decided):
         if label == "short":
-            before, after = nearest(decided, i, -1, False), nearest(decided, i, 1, False)
-            if before == after:
-                out[i] = before
+            if before[i] == after[i]:
+                out[i] = before[i]
             else:  # between good and bad: a near-good one on the bad side tips the scale
-                out[i] = "good" if (nearest(decided, i, -1, True), nearest(decided, i, 1, True)) == ("good", "good") else "bad"
-    for i, label in enumerate(decided):
+                out[i] = "good" if loose_before[i] == loose_after[i] == "good" else "bad"
+    ahead, behind = _nearest(out, False, edge, False), edge
+    for i, label in enumerate(out):
         if label == "near":
-            out[i] = "bad" if nearest(out, i, -1, False) == nearest(out, i, 1, False) == "bad" else "good"
+            out[i] = "bad" if behind == ahead[i] == "bad" else "good"
+        behind = out[i]
     return [x == "good" for x in out]
 
 
