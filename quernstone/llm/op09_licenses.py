@@ -215,14 +215,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     m = model()
     word = m.any_gram()
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).filter(F.lower("text").rlike(word))
-    lines = source.select("doc_id", F.split("text", "\n").alias("lines"))
-    flagged = lines.select("doc_id", "lines", F.transform("lines", lambda x: F.lower(x).rlike(word)).alias("has"))
-    first = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("has", i))
-
-    def windows(i: Column) -> Column:
-        ends = [F.lit(True), *(F.coalesce(F.get("has", i + n - 1), F.lit(False)) for n in range(2, MOST_LINES + 1))]
-        filled = [F.lit(True), *(F.forall(F.slice("lines", i + 2, F.lit(n - 2)), lambda x: x.rlike(r"\S")) if n > 2 else F.lit(True) for n in range(2, MOST_LINES + 1))]
-        every = [F.when(e & f, F.struct(i.alias("line"), F.lit(n).alias("n"), F.concat_ws(" ", F.slice("lines", i + 1, F.lit(n))).alias("paragraph"))) for n, (e, f) in enumerate(zip(ends, filled, strict=True), 1)]
+
+    def windows(lines: Column, has: Column, i: Column) -> Column:
+        """Paragraphs that begin in a line and end in one that has a word of the model too, without a blank line between."""
+        ends = [F.lit(True), *(F.coalesce(F.get(has, i + n - 1), F.lit(False)) for n in range(2, MOST_LINES + 1))]
+        filled = [F.lit(True), *(F.forall(F.slice(lines, i + 2, F.lit(n - 2)), lambda x: x.rlike(r"\S")) if n > 2 else F.lit(True) for n in range(2, MOST_LINES + 1))]
+        every = [F.when(e & f, F.struct(i.alias("line"), F.lit(n).alias("n"), F.concat_ws(" ", F.slice(lines, i + 1, F.lit(n))).alias("paragraph"))) for n, (e, f) in enumerate(zip(ends, filled, strict=True), 1)]
         return F.filter(F.array(*every), lambda w: w.isNotNull())
 
     weights = F.from_json(F.lit(json.dumps({g: m.w[i].tolist() for g, i in m.number.items()}, ensure_ascii=False)), "map<string,array<double>>")
@@ -243,10 +241,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         share = lambda gs, k: F.array_max(F.transform(F.get(templates, k), lambda t: total(F.filter(t, lambda x: F.array_contains(gs, x["g"]))) / F.greatest(total(t), F.lit(1e-9))))
         return let(grams, lambda gs: let(let(logits(gs), best), lambda b: F.struct(b["k"].alias("k"), b["p"].alias("p"), F.when((b["k"] < len(TEMPLATES)) & (b["p"] >= LEAST_PROBABILITY), share(gs, b["k"])).alias("share"))))
 
-    scored = flagged.select("doc_id", F.transform(F.flatten(F.transform(first, windows)), lambda w: F.struct(w["line"].alias("line"), w["n"].alias("n"), judged(w["paragraph"]).alias("best"))).alias("scored"))
-    found = scored.select("doc_id", F.filter("scored", lambda w: w["best"]["share"].isNotNull()).alias("found"))
+    def found_at(lines: Column, has: Column, i: Column) -> Column:
+        """Notices that begin in a line."""
+        scored = F.transform(windows(lines, has, i), lambda w: F.struct(w["line"].alias("line"), w["n"].alias("n"), judged(w["paragraph"]).alias("best")))
+        return F.filter(scored, lambda w: w["best"]["share"].isNotNull())
+
+    def found_in(lines: Column) -> Column:
+        # lines and flags are lambda variables: the optimizer would compute columns anew for every line
+        def flagged(has: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(has, i))
+            return F.transform(first, lambda i: found_at(lines, has, i))
+
+        return let(F.transform(lines, lambda x: F.lower(x).rlike(word)), flagged)
+
+    found = source.select("doc_id", let(F.split("text", "\n"), found_in).alias("found"))
     inside = lambda o, w: (o["n"] < w["n"]) & (o["line"] >= w["line"]) & (o["line"] + o["n"] <= w["line"] + w["n"])
-    rows = found.filter(F.size("found") > 0).select("doc_id", F.explode(F.filter("found", lambda w: ~F.exists("found", lambda o: inside(o, w)))).alias("w"))
+
+    def alone(found: Column) -> Column:
+        """What has no other notice inside of it; one inside begins in the next lines with a word of the model at most."""
+        none = F.slice(F.get(found, F.lit(0)), 1, 0)
+        near = lambda ws, k: F.flatten(F.array(ws, *(F.coalesce(F.get(found, k + j), none) for j in range(1, MOST_LINES))))
+        return F.flatten(F.transform(found, lambda ws, k: F.filter(ws, lambda w: ~F.exists(near(ws, k), lambda o: inside(o, w)))))
+
+    rows = found.select("doc_id", F.explode(let(F.col("found"), alone)).alias("w"))
     family = F.get(F.array(*[F.lit(f) for f in TEMPLATES]), F.col("w.best.k"))
     share = F.col("w.best.share")
     return rows.select(

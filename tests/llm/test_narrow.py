@@ -156,6 +156,16 @@ def test_op4_without_article_tags(small):
     assert hit / said >= 0.98 and hit / there >= 0.85
 
 
+def test_op4_time_in_proportion():
+    """Pages without end tags, deep nests and unclosed quotes take no time that grows with the square."""
+    import time
+
+    for part in ("<p>abc", "<ul><li>a", "<div><b>", '<a href="x', "<!--", "<script>", "&amp", "</i>x"):
+        began = time.perf_counter()
+        o4.extract_text(part * 30_000)
+        assert time.perf_counter() - began < 10, part
+
+
 def test_op4_hard_rows(spark):
     article = "<article>" + "".join(f"<p>It is one of the things {k} that we have to do with all of them.</p>" for k in range(20_000)) + "</article>"
     rows = [(None, None, article), (1, "u", article), (1, "u", article), (2, "u", "<" * 3000), (3, "u", "<div>" * 3000 + "deep" + "</div>" * 10), (4, "u", "&#xD800; &bogus; &amp;lt;<p>\x00")]
@@ -383,6 +393,13 @@ def test_op9_wrapped(spark):
     assert {(i, k, n) for i, k, n, _, _ in got if i == 3} == {(3, 2, 1)}  # a blank line ends a paragraph
 
 
+def test_op9_many_notices_in_a_text(spark):
+    """A text of notices only: each line once, in time that grows with the lines."""
+    text = "\n".join(["Released under the MIT License.", "plain words"] * 3000)
+    got = notices(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert got == sorted(((1, k, 1, "mit", True) for k in range(0, 6000, 2)), key=str)
+
+
 def test_op9_other_licences_are_unknown(spark):
     """Licences that no template names are of the unknown class, in the forms that notices of known ones have."""
     names = "EUPL-1.2 Zlib BSL-1.0 EPL-2.0 OFL-1.1 WTFPL PostgreSQL Artistic-2.0 CDDL-1.0 Python-2.0 ECL-2.0 MulanPSL-2.0 Eclipse".split()
