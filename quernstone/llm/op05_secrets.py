@@ -21,7 +21,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -289,10 +291,12 @@ def find_spans(text: str | None, model: Model | None = None) -> tuple[list[tuple
         return [], []
     model = model or default_model()
     base, more = base_spans(text), []
+    starts, reach = [b for b, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in RUN.finditer(text):
         for start, end, family in model.parts_of(m.group()):
             start, end = m.start() + start, m.start() + end
-            if not any(b <= start and end <= e for b, _, e in base):
+            before = bisect_right(starts, start)  # base spans that begin no later
+            if not before or reach[before - 1] < end:
                 more.append((start, f"auto_{family}", end))
     return base, more
 
