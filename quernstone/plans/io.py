@@ -20,8 +20,11 @@ c = F.col
 
 
 def scratch(spark) -> str:
-    """A fresh folder that executors see too: in the shared checkpoint folder, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quernstone-io")
+    """A fresh folder that executors see too: in the shared checkpoint folder; a local session without one gets a temporary folder."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or os.path.join(tempfile.gettempdir(), "quernstone-io")
     return f"{base.removeprefix('file://')}/{uuid.uuid4().hex}"
 
 
