@@ -36,8 +36,8 @@ from quernstone.llm.units import _CUT, SPECIAL, Units
 SHORT_FORMS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 #: Characters in a chunk.
 CHUNK = 1 << 12
-#: Determinised states kept per process.
-MAX_STATES = 200_000
+#: Determinised states, and counts of words, kept per process.
+MAX_STATES, MAX_WORDS = 400_000, 800_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> dict[bytes, int]:
@@ -245,7 +245,7 @@ class Counter:
 
     def __init__(self, ranks: dict[bytes, int] | None = None):
         self.machine = Machine(ranks or vocabulary())
-        self.units = Units(self.machine.count)
+        self.units = Units(self.machine.count, MAX_WORDS)
 
     def chunk_map(self, chunk: str) -> tuple[str, int | None, State | None]:
         """State map of a chunk: (open head, tokens after it or None, state at the end)."""

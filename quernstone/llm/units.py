@@ -28,14 +28,14 @@ class _Unsafe(Exception):
 class Memo(dict):
     """unit -> value(" " + unit), filled on demand."""
 
-    def __init__(self, value: Callable[[str], object]):
+    def __init__(self, value: Callable[[str], object], keep: int):
         super().__init__()
-        self.value = value
+        self.value, self.keep = value, keep
 
     def __missing__(self, unit: str):
         if not unit or _EDGE.search(unit):
             raise _Unsafe
-        if len(self) >= KEEP:
+        if len(self) >= self.keep:
             self.clear()
         out = self[unit] = self.value(" " + unit)
         return out
@@ -44,8 +44,8 @@ class Memo(dict):
 class Units:
     """Applies ``value`` to the units of a text; gives the values in order."""
 
-    def __init__(self, value: Callable[[str], object]):
-        self.value, self.memo = value, Memo(value)
+    def __init__(self, value: Callable[[str], object], keep: int = KEEP):
+        self.value, self.memo = value, Memo(value, keep)
 
     def of(self, part: str) -> list:
         """Values of the units of a text that has no special token."""
