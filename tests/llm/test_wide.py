@@ -1,6 +1,7 @@
 """Operators 3, 6, 7 and 10 and the pipeline: hard rows, empty tables and brute force."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -155,6 +156,40 @@ def test_op6_deals_each_partition_at_random(spark):
     assert min(first.values()) >= 15
 
 
+def test_op6_no_switch_by_partitions(spark, monkeypatch):
+    """However many partitions there are, each deals to all shards, and the sizes of blocks and buckets change nothing."""
+    docs = spark.range(0, 800, 1, 8).withColumn("part", F.spark_partition_id())
+    want = None
+    for groups, bucket in ((4096, 8192), (3, 8192), (1, 8)):
+        monkeypatch.setattr(o6, "GROUPS", groups)
+        monkeypatch.setattr(o6, "BUCKET", bucket)
+        got = sorted(tuple(r) for r in o6.shuffle_into_shards(docs, 4, 5).collect())
+        want = want or got
+        assert got == want
+        sent = collections.Counter((part, shard) for _, part, shard, _ in got)
+        assert len(sent) == 32 and 8 <= min(sent.values()) and max(sent.values()) <= 45  # 100 rows a partition: 25 on average
+
+
+def test_op6_one_sampler_at_all_sizes(monkeypatch):
+    """Small draws follow the exact law, none takes a sampler that only some sizes have, and exact comparison changes nothing."""
+
+    class Uniforms:  # no other draws than these
+        def __init__(self, seed):
+            self.random = np.random.default_rng(seed).random
+
+    for good, bad, draws in ((7, 3, 4), (3, 7, 6), (1, 1, 1), (30, 70, 20), (70, 30, 85)):
+        rng = Uniforms(4)
+        got = collections.Counter(o6.hypergeometric(rng, good, bad, draws) for _ in range(20_000))
+        for x in range(draws + 1):
+            assert abs(got[x] / 20_000 - math.comb(good, x) * math.comb(bad, draws - x) / math.comb(good + bad, draws)) < 0.015
+    edges = [(0, 5, 3), (5, 0, 3), (3, 4, 0), (3, 4, 7), (0, 0, 0)]
+    assert [o6.hypergeometric(Uniforms(0), *e) for e in edges] == [0, 3, 0, 3, 0]
+    sizes = [(400, 600, 300), (6 * 10**8, 3 * 10**8, 10**6), (6 * 10**8, 7 * 10**8, 10**6), (5 * 10**10, 6 * 10**10, 10**9)]
+    plain = [o6.hypergeometric(Uniforms(s), *size) for size in sizes for s in range(30)]
+    monkeypatch.setattr(o6.math, "lgamma", lambda x: 1e30)  # every comparison is left to 60 digits
+    assert [o6.hypergeometric(Uniforms(s), *size) for size in sizes for s in range(30)] == plain
+
+
 def test_op6_keeps_columns(hard):
     out = o6.shuffle_into_shards(hard, 3)
     assert set(out.columns) == set(hard.columns) | {"slot"} and out.count() == hard.count()
