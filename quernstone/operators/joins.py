@@ -71,12 +71,14 @@ def grid_join(points: DataFrame, boxes: DataFrame, x: Column, y: Column, xmin: C
     return cells.join(wide, ["_cx", "_cy"]).filter((x >= xmin) & (x <= xmax) & (y >= ymin) & (y <= ymax)).drop("_cx", "_cy")
 
 
-def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate: Callable[[Column, Column], Column], size: float) -> DataFrame:
-    """Pairs of geometries of both sides for which a predicate holds that needs their boxes to meet.
+def spatial_pairs(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate: Callable[[Column, Column], Column], size: float) -> DataFrame:
+    """Pairs of rows of both sides for whose geometries a predicate holds that needs their boxes to meet.
 
     Both sides are repeated for the grid cells that their boxes touch and joined
     on cells; a pair is looked at only in the cell of the lower left corner of
     what their boxes share, so it comes once; then the exact predicate decides.
+    It is asked for every pair of rows: where geometries repeat, ``spatial_join``
+    and ``spatial_sums`` ask once for each pair of different ones.
     """
 
     def spread(df: DataFrame, geom: str, side: str) -> DataFrame:
@@ -90,6 +92,23 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     return pairs.filter(once).filter(predicate(F.col(left_geom), F.col(right_geom))).drop("_cx", "_cy", "_bl", "_br")
 
 
+def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate: Callable[[Column, Column], Column], size: float) -> DataFrame:
+    """Pairs of rows as of ``spatial_pairs``; the predicate is asked once for each pair of different geometries."""
+    found = spatial_pairs(left.select(left_geom).distinct(), right.select(right_geom).distinct(), left_geom, right_geom, predicate, size)
+    return left.join(found, left_geom).join(right, right_geom).select(*left.columns, *right.columns)
+
+
+def spatial_sums(shapes: DataFrame, points: DataFrame, shape_geom: str, point_geom: str, predicate: Callable[[Column, Column], Column], size: float, sums: dict[str, Column]) -> DataFrame:
+    """The shapes that have points, with sums over these.
+
+    Points of one place are summed before the join and shapes of one form are
+    joined once, so no pair of a shape and a point is made where places repeat.
+    """
+    places = points.groupBy(point_geom).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    found = spatial_pairs(shapes.select(shape_geom).distinct(), places, shape_geom, point_geom, predicate, size)
+    return shapes.join(found.groupBy(shape_geom).agg(*[F.sum(n).alias(n) for n in sums]), shape_geom).select(*shapes.columns, *sums)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join whose hot keys are spread: the big side draws a salt, the small side is repeated.
 

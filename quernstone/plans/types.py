@@ -226,12 +226,13 @@ def geometry_lines(spark, sf_dir):
 ON x > a AND y > b AND x + y - a - b < w GROUP BY s_suppkey"""
 )
 def spatial_join_polygons(spark, sf_dir):
-    """Points in triangles: a grid join of the boxes, then the polygons themselves."""
+    """Points in triangles, counted: a grid join of the boxes, then the polygons themselves."""
     points = table(spark, sf_dir, "part").select("p_partkey", geometry.st_makepoint(c("p_size") + 0.25, c("p_partkey") % 50 + 0.25).alias("g"))
     a, b, w = c("s_suppkey") % 40, c("s_suppkey") * 7 % 40, c("s_suppkey") % 6 + 5
     triangle = geometry.polygon([geometry.place(p, q) for p, q in ((a, b), (a + w, b), (a, b + w), (a, b))])
     shapes = table(spark, sf_dir, "supplier").select("s_suppkey", triangle.alias("t"))
-    return joins.spatial_join(shapes, points, "t", "g", geometry.st_contains, 8.0).groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("p_partkey").cast("long").alias("keys"))
+    found = joins.spatial_sums(shapes, points, "t", "g", geometry.st_contains, 8.0, {"n": F.lit(1), "keys": c("p_partkey")})
+    return found.groupBy("s_suppkey").agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"))
 
 
 _SQUARES = "(SELECT s_suppkey, s_suppkey % 23 * 2.0 AS x, s_suppkey * 7 % 19 * 2.0 AS y, 0.5 + s_suppkey % 3 AS w FROM supplier)"
