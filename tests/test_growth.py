@@ -30,3 +30,11 @@ def test_spatial_sums_ask_once_for_a_place(spark, asked):
     got = joins.spatial_sums(shapes, _points(spark, 90, 3, "b"), "a_g", "b_g", predicate, 4.0, {"n": F.lit(1), "keys": F.col("b")}).select("a", "n", "keys").collect()
     assert sorted(map(tuple, got)) == [(a, 30, sum(b for b in range(90) if b % 3 == a % 3)) for a in range(60)]
     assert times.value <= 6
+
+
+def test_spatial_join_asks_once_for_equal_shapes(spark, asked):
+    predicate, times = asked
+    got = joins.spatial_join(_points(spark, 60, 3, "a"), _points(spark, 90, 3, "b"), "a_g", "b_g", predicate, 4.0)
+    assert got.columns == ["a", "a_g", "b", "b_g"]
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(a, b) for a in range(60) for b in range(90) if a % 3 == b % 3]
+    assert times.value <= 6
