@@ -38,3 +38,10 @@ def test_spatial_join_asks_once_for_equal_shapes(spark, asked):
     assert got.columns == ["a", "a_g", "b", "b_g"]
     assert sorted((r["a"], r["b"]) for r in got.collect()) == [(a, b) for a in range(60) for b in range(90) if a % 3 == b % 3]
     assert times.value <= 6
+
+
+def test_corr_of_a_constant_side_in_several_partitions(spark):
+    for n in (49, 98):  # (1 / n) * n isn't 1
+        rows = spark.range(0, 2 * n, numPartitions=2).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("one"))
+        assert tuple(rows.agg(aggregates.corr(F.col("x"), F.col("one")), aggregates.corr(F.col("one"), F.col("x"))).first()) == (None, None)
+        assert round(rows.agg(aggregates.corr(F.col("x"), F.col("x") * 2).alias("r")).first()["r"], 12) == 1.0
