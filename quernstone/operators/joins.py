@@ -71,6 +71,65 @@ def grid_join(points: DataFrame, boxes: DataFrame, x: Column, y: Column, xmin: C
     return cells.join(wide, ["_cx", "_cy"]).filter((x >= xmin) & (x <= xmax) & (y >= ymin) & (y <= ymax)).drop("_cx", "_cy")
 
 
+def running_sums(rows: DataFrame, by: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Sums of ``value`` over the rows of a group up to each row, in order.
+
+    ``bucket`` is a number that doesn't fall along the order: windows hold a
+    bucket of a group, and the sum of earlier buckets is carried in.
+    """
+    own = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by, bucket).agg(F.sum(value).alias("_end"))
+    carried = ends.select(*by, bucket, F.coalesce(F.sum("_end").over(before), F.lit(0)).alias("_carry"))
+    return rows.withColumn(name, F.sum(value).over(own)).join(carried, [*by, bucket]).withColumn(name, F.col(name) + F.col("_carry")).drop("_carry")
+
+
+#: Buckets that the windows of a sorted column are cut into, by its quantiles.
+BUCKETS = 128
+
+
+def box_counts(points: DataFrame, boxes: DataFrame, x: Column, y: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> DataFrame:
+    """The boxes that hold points, with their number ``n``, without making a pair of a box and a point.
+
+    Different values of y are numbered; a point belongs to a block of every size
+    1, 2, 4, ... of these numbers, and what lies below a box's side is a sum of
+    few blocks.  In a block, points are counted along x up to the box's two
+    sides.  So a point or side makes as many rows as the number of values of y
+    has bits, at most, whatever the boxes hold.
+    """
+    sides = ["_x0", "_y0", "_x1", "_y1"]
+    places = points.select(x.cast("double").alias("_x"), y.cast("double").alias("_y")).dropna().groupBy("_x", "_y").agg(F.count("*").alias("_n"))
+    keyed = boxes.select("*", *[v.cast("double").alias(n) for n, v in zip(sides, (xmin, ymin, xmax, ymax), strict=True)])
+    forms = keyed.select(*sides).filter("_x0 <= _x1 AND _y0 <= _y1").distinct()
+
+    def bucket(v: str) -> Callable[[Column], Column]:
+        cuts = sorted(set(places.approxQuantile(v, [i / BUCKETS for i in range(1, BUCKETS)], 0.2 / BUCKETS)))
+        return lambda e: F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda s: s <= e))
+
+    def turned(rows: DataFrame, low: str, high: str, *others: str) -> DataFrame:
+        """Two rows of a box: before points at its lower side (-1), behind those at its upper side (1)."""
+        ends = F.array(F.struct(F.lit(-1).alias("_at"), F.col(low).alias("_v")), F.struct(F.lit(1).alias("_at"), F.col(high).alias("_v")))
+        return rows.select(*sides, *others, F.explode(ends).alias("_e")).select(*sides, *others, "_e.*")
+
+    # numbers of the values of y, from 1, and of the values below each side
+    ys = places.select("_y").distinct()
+    levels = ys.count().bit_length()
+    in_order = ys.select(F.col("_y").alias("_v"), F.lit(0).alias("_at"), F.lit(1).alias("_one")).unionByName(turned(forms, "_y0", "_y1").withColumn("_one", F.lit(0)), allowMissingColumns=True)
+    by_y = running_sums(in_order.withColumn("_b", bucket("_y")(F.col("_v"))).withColumn("_all", F.lit(0)), ["_all"], "_b", ["_v", "_at"], "_one", "_rank")
+    of_y = by_y.filter("_at = 0").select(F.col("_v").alias("_y"), (F.col("_rank") - 1).alias("_rank"))
+
+    # blocks: a number's bits, from the highest, name those that lie below it; these have even numbers only
+    level = F.explode(F.sequence(F.lit(0), F.lit(max(levels - 1, 0)))).alias("_l")
+    shifted = F.expr("shiftright(_rank, _l)")
+    held = places.join(of_y, "_y").select("_x", "_n", "_rank", level).filter(shifted % 2 == 0).select("_l", shifted.alias("_k"), F.col("_x").alias("_v"), F.lit(0).alias("_at"), "_n")
+    held = held.groupBy("_l", "_k", "_v", "_at").agg(F.sum("_n").alias("_n"))
+    below = by_y.filter("_at <> 0").select(*sides, F.col("_at").alias("_sign"), "_rank", level).filter(shifted % 2 == 1).select(*sides, "_sign", "_l", (shifted - 1).alias("_k"))
+    asks = turned(below, "_x0", "_x1", "_sign", "_l", "_k").withColumn("_n", F.lit(0).cast("long"))
+    along = running_sums(held.unionByName(asks, allowMissingColumns=True).withColumn("_b", bucket("_x")(F.col("_v"))), ["_l", "_k"], "_b", ["_v", "_at"], "_n", "_sum")
+    counts = along.filter("_at <> 0").groupBy(*sides).agg(F.sum(F.col("_sum") * F.col("_at") * F.col("_sign")).alias("n")).filter("n > 0")
+    return keyed.join(counts, sides).select(*boxes.columns, "n")
+
+
 def spatial_pairs(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate: Callable[[Column, Column], Column], size: float) -> DataFrame:
     """Pairs of rows of both sides for whose geometries a predicate holds that needs their boxes to meet.
 

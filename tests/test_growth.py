@@ -45,3 +45,18 @@ def test_corr_of_a_constant_side_in_several_partitions(spark):
         rows = spark.range(0, 2 * n, numPartitions=2).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("one"))
         assert tuple(rows.agg(aggregates.corr(F.col("x"), F.col("one")), aggregates.corr(F.col("one"), F.col("x"))).first()) == (None, None)
         assert round(rows.agg(aggregates.corr(F.col("x"), F.col("x") * 2).alias("r")).first()["r"], 12) == 1.0
+
+
+def test_box_counts(spark):
+    """Against the enumerating join; shared places, places on sides, empty and turned boxes, negative values."""
+    k = F.col("id")
+    points = spark.range(400).select((k * 37 % 29 - 11).cast("double").alias("x"), (k * 53 % 23 - 9.5).cast("double").alias("y"))
+    low = spark.range(300).select(k.alias("box"), (k * 7 % 31 - 12).cast("double").alias("x0"), (k * 11 % 27 - 11.5).cast("double").alias("y0"), (k % 7 - 1).cast("double").alias("w"), (k % 9 - 1).cast("double").alias("h"))
+    boxes = low.select("box", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
+    c = F.col
+    got = joins.box_counts(points, boxes, c("x"), c("y"), c("x0"), c("y0"), c("x1"), c("y1")).select("box", "n").collect()
+    held = lambda p, b: b["x0"] <= p["x"] <= b["x1"] and b["y0"] <= p["y"] <= b["y1"]
+    every = points.collect()
+    want = [(b["box"], n) for b in boxes.collect() if (n := sum(held(p, b) for p in every))]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert joins.box_counts(points.limit(0), boxes, c("x"), c("y"), c("x0"), c("y0"), c("x1"), c("y1")).count() == 0
