@@ -334,7 +334,9 @@ def udf_barrier(spark, sf_dir):
 @P.plan("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, true AS within FROM lineitem GROUP BY l_returnflag")
 def approx_distinct_within(spark, sf_dir):
     """The sketch's estimate lies within five standard errors of the exact count."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("exact"), F.approx_count_distinct("l_partkey", 0.01).alias("estimate"))
+    # repeated values don't change a sketch; beside a distinct count it would be kept for each of them
+    different = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey").distinct()
+    rows = different.groupBy("l_returnflag").agg(F.count("l_partkey").alias("exact"), F.approx_count_distinct("l_partkey", 0.01).alias("estimate"))
     return rows.select("l_returnflag", "exact", (F.abs(c("estimate") - c("exact")) <= 0.05 * c("exact") + 1).alias("within"))
 
 

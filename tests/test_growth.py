@@ -60,3 +60,16 @@ def test_box_counts(spark):
     want = [(b["box"], n) for b in boxes.collect() if (n := sum(held(p, b) for p in every))]
     assert sorted(map(tuple, got)) == sorted(want)
     assert joins.box_counts(points.limit(0), boxes, c("x"), c("y"), c("x0"), c("y0"), c("x1"), c("y1")).count() == 0
+
+
+def test_approx_distinct_within_keeps_one_sketch_a_flag(spark, sf_dir):
+    """No sketch is an aggregate of a step that groups by the counted value."""
+    from quernstone.plans import registry
+
+    df = registry.queries()["approx_distinct_within"](spark, sf_dir)
+    steps = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    sketches = [s for s in steps if "approx_count_distinct" in s and "Aggregate(keys" in s]
+    assert sketches and all("l_partkey" not in s.partition("keys=[")[2].partition("]")[0] for s in sketches)
+    same = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("e"))
+    once = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_partkey").distinct().groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("e"))
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, once.collect()))
