@@ -119,9 +119,15 @@ def _crossing(s: Column, t: Column) -> Column:
     return (_side(s["a"], s["b"], t["a"]) * _side(s["a"], s["b"], t["b"]) < 0) & (_side(t["a"], t["b"], s["a"]) * _side(t["a"], t["b"], s["b"]) < 0)
 
 
+def _near(s: Column, t: Column) -> Column:
+    """The boxes of two segments share a place, without which the segments don't."""
+    apart = lambda k: (F.greatest(s["a"][k], s["b"][k]) < F.least(t["a"][k], t["b"][k])) | (F.greatest(t["a"][k], t["b"][k]) < F.least(s["a"][k], s["b"][k]))
+    return ~(apart("x") | apart("y"))
+
+
 def _meet(s: Column, t: Column) -> Column:
     """Two segments share a place."""
-    return _crossing(s, t) | _on(s["a"], s["b"], t["a"]) | _on(s["a"], s["b"], t["b"]) | _on(t["a"], t["b"], s["a"]) | _on(t["a"], t["b"], s["b"])
+    return _near(s, t) & (_crossing(s, t) | _on(s["a"], s["b"], t["a"]) | _on(s["a"], s["b"], t["b"]) | _on(t["a"], t["b"], s["a"]) | _on(t["a"], t["b"], s["b"]))
 
 
 def _to_segment(a: Column, b: Column, p: Column) -> Column:
@@ -134,7 +140,7 @@ def _to_segment(a: Column, b: Column, p: Column) -> Column:
 
 def _pairs(a: Column, b: Column, test: Callable[[Column, Column], Column]) -> Column:
     """Whether any segment of a and any of b pass a test."""
-    return F.exists(_segments(a), lambda s: F.exists(_segments(b), lambda t: test(s, t)))
+    return let(_segments(b), lambda of_b: F.exists(_segments(a), lambda s: F.exists(of_b, lambda t: test(s, t))))
 
 
 # ---- places and polygons -----------------------------------------------------------
@@ -164,7 +170,7 @@ def intersects(a: Column, b: Column) -> Column:
 def st_distance(a: Column, b: Column) -> Column:
     """Least distance of two geometries; 0 where they meet."""
     ends = lambda s, t: F.least(_to_segment(s["a"], s["b"], t["a"]), _to_segment(s["a"], s["b"], t["b"]), _to_segment(t["a"], t["b"], s["a"]), _to_segment(t["a"], t["b"], s["b"]))
-    least = F.array_min(F.flatten(F.transform(_segments(a), lambda s: F.transform(_segments(b), lambda t: ends(s, t)))))
+    least = let(_segments(b), lambda of_b: F.array_min(F.flatten(F.transform(_segments(a), lambda s: F.transform(of_b, lambda t: ends(s, t))))))
     return F.when(intersects(a, b), F.lit(0.0)).otherwise(least)
 
 
@@ -179,7 +185,7 @@ def _middle(s: Column) -> Column:
 def _parts(a: Column, b: Column) -> Column:
     """Places in the middle of what b's segments are cut to by the boundary of a."""
 
-    def cut(t: Column) -> Column:
+    def cut(t: Column, of_a: Column) -> Column:
         dx, dy = t["b"]["x"] - t["a"]["x"], t["b"]["y"] - t["a"]["y"]
 
         def at(s: Column) -> Column:
@@ -190,12 +196,12 @@ def _parts(a: Column, b: Column) -> Column:
             ends = F.transform(F.array(s["a"], s["b"]), lambda p: F.when(_on(t["a"], t["b"], p) & (size > 0), ((p["x"] - t["a"]["x"]) * dx + (p["y"] - t["a"]["y"]) * dy) / F.when(size > 0, size)))
             return F.concat(F.array(F.when(_meet(s, t), crossing)), ends)
 
-        stops = F.filter(F.flatten(F.transform(_segments(a), at)), lambda x: x.isNotNull() & (x > 0) & (x < 1))
+        stops = F.filter(F.flatten(F.transform(F.filter(of_a, lambda s: _near(s, t)), at)), lambda x: x.isNotNull() & (x > 0) & (x < 1))
         order = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), stops)))
         middle = lambda x, i: (x + order[i]) / 2
         return F.transform(F.transform(F.slice(order, F.lit(2), F.size(order)), middle), lambda m: place(t["a"]["x"] + m * dx, t["a"]["y"] + m * dy))
 
-    return F.flatten(F.transform(_segments(b), cut))
+    return let(_segments(a), lambda found: F.flatten(F.transform(_segments(b), lambda t: cut(t, found))))
 
 
 def _boundary_ends(g: Column) -> Column:

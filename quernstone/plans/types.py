@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from quernstone.functions import arith, dates, geometry, nested, ranges
 from quernstone.operators import joins
 from quernstone.plans.base import Plans
-from quernstone.session import table
+from quernstone.session import spread, table
 
 P = Plans()
 c = F.col
@@ -202,7 +202,7 @@ def geometry_points(spark, sf_dir):
     srid = lambda g: geometry.st_setsrid(g, 4326)
     box, hole = srid(geometry.polygon(ring(10.0, 10.0, 40.0, 30.0), ring(20.0, 15.0, 25.0, 25.0))), srid(geometry.st_makepoint(20.0, 20.0, 5.0))
     whole = srid(geometry.polygon(ring(10.0, 10.0, 40.0, 30.0)))
-    rows = table(spark, sf_dir, "part").select("p_partkey", srid(geometry.st_makepoint(c("p_size"), c("p_retailprice") / 50)).alias("g"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")).select("p_partkey", srid(geometry.st_makepoint(c("p_size"), c("p_retailprice") / 50)).alias("g"))
     g = c("g")
     return rows.select(
         "p_partkey", F.round(geometry.st_distance(g, hole), 8).alias("d"), F.round(geometry.st_distance(whole, g), 8).alias("to_box"), geometry.st_contains(box, g).alias("inside"), geometry.geometry_overlaps(geometry.st_expand(whole, 2.0), g).alias("near_box"),

@@ -78,3 +78,9 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver tables; only Spark's reader opens the path."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """Rows dealt evenly to tasks, for work on each row that a small file's few splits would leave to few cores."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

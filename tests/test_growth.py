@@ -73,3 +73,20 @@ def test_approx_distinct_within_keeps_one_sketch_a_flag(spark, sf_dir):
     same = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("e"))
     once = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_partkey").distinct().groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.01).alias("e"))
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, once.collect()))
+
+
+@pytest.mark.parametrize("name", ["geometry_points"])
+def test_geometry_rows_are_dealt_to_all_cores(spark, sf_dir, name):
+    from quernstone.plans import registry
+
+    df = registry.queries()[name](spark, sf_dir)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    sizes = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert max(r["count"] for r in sizes) < 2 * sum(r["count"] for r in sizes) / spark.sparkContext.defaultParallelism
+
+
+def test_segments_whose_boxes_touch(spark):
+    at = lambda *ps: [geometry.place(float(x), float(y)) for x, y in ps]
+    one = lambda e: spark.range(1).select(e.alias("x")).first()["x"]
+    edge = geometry.line(at((0, 0), (4, 4)))
+    assert [one(geometry.intersects(edge, geometry.line(at(*ps)))) for ps in (((4, 4), (8, 0)), ((2, 2), (2, 9)), ((4, 0), (0, 4)), ((3, 2), (4, 3)), ((5, 4), (9, 4)), ((-3, 0), (0, 0)))] == [True, True, True, False, False, True]
