@@ -214,7 +214,7 @@ def geometry_points(spark, sf_dir):
 def geometry_lines(spark, sf_dir):
     """Lines upwards from the axis against a level line and a box: crosses, direction, contains, distance."""
     x, y = c("x"), c("y")
-    rows = table(spark, sf_dir, "part").select("p_partkey", c("p_size").cast("double").alias("x"), (c("p_partkey") % 37 + 0.5).cast("double").alias("y")).filter((x > 0) & (x != 10) & (x != 40))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", c("p_size").cast("double").alias("x"), (c("p_partkey") % 37 + 0.5).cast("double").alias("y")).filter((x > 0) & (x != 10) & (x != 40)))
     level = geometry.line([geometry.place(0.0, 20.0), geometry.place(40.0, 20.0)])
     box = geometry.polygon([geometry.place(p, q) for p, q in ((10.0, 10.0), (40.0, 10.0), (40.0, 30.0), (10.0, 30.0), (10.0, 10.0))])
     up = rows.select("p_partkey", geometry.line([geometry.place(x, 0.0), geometry.place(x, y)]).alias("up"), geometry.line([geometry.place(x, F.least(y, F.lit(30.0))), geometry.place(x, F.greatest(y, F.lit(10.0)))]).alias("upper"), geometry.line([geometry.place(x, 10.0), geometry.place(x, F.greatest(y, F.lit(10.5)))]).alias("stem"), "y")

@@ -75,7 +75,7 @@ def test_approx_distinct_within_keeps_one_sketch_a_flag(spark, sf_dir):
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, once.collect()))
 
 
-@pytest.mark.parametrize("name", ["geometry_points"])
+@pytest.mark.parametrize("name", ["geometry_points", "geometry_lines"])
 def test_geometry_rows_are_dealt_to_all_cores(spark, sf_dir, name):
     from quernstone.plans import registry
 
