@@ -1,6 +1,7 @@
 """Arrow IPC files as a Spark data source, with statistics in the footer.
 
-Reading: one partition per record batch.  Footer statistics of the batches
+Reading: one partition per record batch, or of neighbours where there are many.
+Footer statistics of the batches
 (``min_values``, ``max_values`` and ``null_counts`` of a field) skip batches for
 pushed filters and for a ``where`` tree of AND, OR and NOT.  Custom metadata of
 files and fields, its items by batch, and parts of file names become virtual
@@ -50,6 +51,9 @@ from pyspark.sql.pandas.types import from_arrow_schema
 FILE_BYTES = 128 << 20
 #: Footers that are read at once.
 FOOTERS = 16
+#: Partitions beyond which neighbouring batches of a file share one, and the bytes of file up to which they do.
+PARTITIONS = 512
+PARTITION_BYTES = 64 << 20
 
 
 # ---- files ------------------------------------------------------------------------
@@ -240,6 +244,23 @@ class Batch(InputPartition):
     path: str
     number: int
     values: tuple = ()
+    #: further batches of the file in this partition: (number, values)
+    more: tuple = ()
+
+
+def packed(files: list[tuple[int, list[Batch]]]) -> list[Batch]:
+    """Partitions of the batches of files, given with the mean size of a file's batches.
+
+    Small batches would cost more as tasks than to read, so beyond ``PARTITIONS``
+    of them a partition takes its share of the batches, up to ``PARTITION_BYTES``.
+    """
+    share = -(-sum(len(found) for _, found in files) // PARTITIONS)
+    out = []
+    for size, found in files:
+        n = max(1, min(share, PARTITION_BYTES // max(size, 1)))
+        for first, *rest in (found[i : i + n] for i in range(0, len(found), n)):
+            out.append(Batch(first.path, first.number, first.values, tuple((b.number, b.values) for b in rest)))
+    return out
 
 
 class ArrowReader(DataSourceReader):
@@ -280,7 +301,8 @@ class ArrowReader(DataSourceReader):
                 out.append(int(found[key]) if kind == "number" and key in found else found.get(key))
         return tuple(out)
 
-    def batches_of(self, path: str) -> list[Batch]:
+    def batches_of(self, path: str) -> tuple[int, list[Batch]]:
+        """Mean size of a file's batches, and those that can hold rows."""
         with opened(path) as source:
             reader = pa.ipc.open_file(source)
             known, out = statistics(reader.schema), []
@@ -294,22 +316,23 @@ class ArrowReader(DataSourceReader):
                         stats[name] = Stats(low[i], high[i], count, rows)
                 if all(may_match(f, stats) for f in self.filters):
                     out.append(Batch(path, i, values))
-            return out
+            return source.size() // max(reader.num_record_batches, 1), out
 
     def partitions(self):
         paths = files_of(self.path, self.suffix, self.pattern)
         with ThreadPoolExecutor(FOOTERS) as pool:
-            out = [b for found in pool.map(self.batches_of, paths) for b in found]
-        return out or [Batch("", 0)]
+            return packed(list(pool.map(self.batches_of, paths))) or [Batch("", 0)]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         with opened(partition.path) as source:
-            batch = pa.ipc.open_file(source).get_batch(partition.number)
-            for (name, kind, _), value in zip(self.virtual, partition.values, strict=True):
-                batch = batch.append_column(name, pa.array([value] * batch.num_rows, pa.int64() if kind == "number" else pa.string()))
-            yield batch.rename_columns(unique_names(batch.schema.names)).replace_schema_metadata(None)
+            reader = pa.ipc.open_file(source)
+            for number, values in ((partition.number, partition.values), *partition.more):
+                batch = reader.get_batch(number)
+                for (name, kind, _), value in zip(self.virtual, values, strict=True):
+                    batch = batch.append_column(name, pa.array([value] * batch.num_rows, pa.int64() if kind == "number" else pa.string()))
+                yield batch.rename_columns(unique_names(batch.schema.names)).replace_schema_metadata(None)
 
 
 # ---- writing ----------------------------------------------------------------------------------
