@@ -90,3 +90,19 @@ def test_segments_whose_boxes_touch(spark):
     one = lambda e: spark.range(1).select(e.alias("x")).first()["x"]
     edge = geometry.line(at((0, 0), (4, 4)))
     assert [one(geometry.intersects(edge, geometry.line(at(*ps)))) for ps in (((4, 4), (8, 0)), ((2, 2), (2, 9)), ((4, 0), (0, 4)), ((3, 2), (4, 3)), ((5, 4), (9, 4)), ((-3, 0), (0, 0)))] == [True, True, True, False, False, True]
+
+
+def test_many_small_arrow_batches_share_partitions(spark, tmp_path):
+    from quernstone.sources import arrow_files
+
+    arrow_files.register(spark)
+    path = str(tmp_path / "a")
+    spark.range(12_000).coalesce(1).write.format("arrow_files").option("path", path).option("stats", "id").option("batchRows", "10").option("meta.item", ",".join(map(str, range(1200)))).mode("append").save()
+    parts = arrow_files.ArrowReader(path, None).partitions()
+    assert len(parts) <= arrow_files.PARTITIONS and sum(1 + len(p.more) for p in parts) == 1200
+    some = arrow_files.ArrowReader(path, None, where=("or", ("<", "id", 25), (">=", "id", 11_990))).partitions()
+    assert [p.number for p in some] == [0, 1, 2, 1199]
+    back = spark.read.format("arrow_files").option("split", "item").load(path)
+    assert back.rdd.getNumPartitions() == len(parts)
+    assert back.filter("cast(item as bigint) = id div 10").count() == back.select("id").distinct().count() == 12_000
+    assert arrow_files.packed([(arrow_files.PARTITION_BYTES, parts)])[0].more == ()
